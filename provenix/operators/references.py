@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from provenix.operators.skew import hot_keys
 
 #: Consecutive key values to a range: the most parents one array can hold.
-RANGE = 65_536
+RANGE = 8_192
 #: Partitions over which the references of a hot range are spread.
 SALTS = 32
 

@@ -19,15 +19,15 @@ WITH RECURSIVE one AS (
 ), present AS (
   SELECT l.node, l.parent FROM links l JOIN one o ON o.id = l.parent
 ), walk AS (
-  SELECT node, parent AS at, [node] AS seen, FALSE AS ring FROM present
+  SELECT node, parent AS cur, [node] AS seen, FALSE AS ring FROM present
   UNION ALL
-  SELECT w.node, p.parent, list_append(w.seen, w.at), list_contains(w.seen, w.at) FROM walk w JOIN present p ON p.node = w.at WHERE NOT w.ring
+  SELECT w.node, p.parent, list_append(w.seen, w.cur), list_contains(w.seen, w.cur) FROM walk w JOIN present p ON p.node = w.cur WHERE NOT w.ring
 ), ends AS (
-  SELECT node, at, seen FROM walk w WHERE NOT ring AND at NOT IN (SELECT node FROM present)
+  SELECT node, cur, seen FROM walk w WHERE NOT ring AND cur NOT IN (SELECT node FROM present)
 ), rings AS (
   SELECT node, seen[len(seen)] AS hit, seen FROM walk WHERE ring
 ), solved AS (
-  SELECT node, at AS root, len(seen) AS depth, 'tree' AS status, list_reverse(list_append(seen, at)) AS path FROM ends
+  SELECT node, cur AS root, len(seen) AS depth, 'tree' AS status, list_reverse(list_append(seen, cur)) AS path FROM ends
   UNION ALL
   SELECT node, list_min(seen[list_position(seen, hit):]), NULL, CASE WHEN list_position(seen, hit) = 1 THEN 'cycle' ELSE 'below_cycle' END, NULL FROM rings
 )
@@ -67,14 +67,14 @@ _BAD = """
 WITH m AS (SELECT id, min(ingested_at) AS since FROM media_items GROUP BY id),
 gone AS (SELECT DISTINCT media_id FROM media_deletions WHERE restored_at IS NULL),
 refs AS (
-  SELECT ref_table, ref_column, row_id, k, min(at) AS at FROM (
-    SELECT 'media_relationships' AS ref_table, 'source_id' AS ref_column, id AS row_id, source_id AS k, created_at AS at FROM media_relationships
+  SELECT ref_table, ref_column, row_id, k, min(t_at) AS t_at FROM (
+    SELECT 'media_relationships' AS ref_table, 'source_id' AS ref_column, id AS row_id, source_id AS k, created_at AS t_at FROM media_relationships
     UNION ALL SELECT 'media_relationships', 'target_id', id, target_id, created_at FROM media_relationships
     UNION ALL SELECT 'keyframes', 'media_id', id, media_id, extracted_at FROM keyframes) WHERE k IS NOT NULL GROUP BY ALL
 ), bad AS (
-  SELECT r.*, m.id IS NULL AS missing, g.media_id IS NOT NULL AS deleted, coalesce(m.since > r.at, FALSE) AS later
+  SELECT r.*, m.id IS NULL AS missing, g.media_id IS NOT NULL AS deleted, coalesce(m.since > r.t_at, FALSE) AS later
   FROM refs r LEFT JOIN m ON m.id = r.k LEFT JOIN gone g ON g.media_id = r.k
-  WHERE m.id IS NULL OR g.media_id IS NOT NULL OR m.since > r.at
+  WHERE m.id IS NULL OR g.media_id IS NOT NULL OR m.since > r.t_at
 )
 """
 
@@ -88,7 +88,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bad(spark, sf_dir).select("ref_table", "ref_column", "row_id")
 
 
-@REG.query(_BAD + """SELECT ref_table, ref_column, strftime(at, '%Y-%m') AS month, count(*) AS n_bad, count_if(missing)::BIGINT AS n_missing,
+@REG.query(_BAD + """SELECT ref_table, ref_column, strftime(t_at, '%Y-%m') AS month, count(*) AS n_bad, count_if(missing)::BIGINT AS n_missing,
 count_if(deleted)::BIGINT AS n_deleted, count_if(later)::BIGINT AS n_later FROM bad GROUP BY ALL""")
 def p5_orphans_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.by_month(_bad(spark, sf_dir))
