@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenix.llm import components, overlap
+from provenix.llm import components, neighbours, overlap
 from provenix.plans.registry import Registry
 from provenix.sources.tables import table
 
@@ -33,3 +33,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query()
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.group_report(table(spark, sf_dir, "media_items"), table(spark, sf_dir, "media_relationships"))
+
+
+# ---- problem 6 ----
+@REG.query()
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.neighbours(table(spark, sf_dir, "media_items"))
+    return near.select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
