@@ -106,26 +106,8 @@ def _search(book: np.ndarray, k: int, cosine: float):
         return pa.RecordBatch.from_arrays([pa.array(out_cls, pa.binary()), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_cos, pa.list_(pa.float64()))], ["cls", "ids", "cos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        at = None
-
-        def flush():
-            t = pa.Table.from_batches(held)
-            return leaf(t["cls"].to_pylist(), t["vec"].to_pylist(), t["code"].to_pylist(), t["slack"].to_numpy(), t["ids"].to_pylist())
-
-        for batch in batches:
-            where = np.asarray(batch.column(0))
-            if not len(where):
-                continue
-            ends = np.flatnonzero(np.diff(where)) + 1
-            for a, b in zip([0, *ends], [*ends, len(where)]):
-                if where[a] != at and held:
-                    yield flush()
-                    held = []
-                at = where[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield flush()
+        for t in vectors.by_leaf(batches):
+            yield leaf(t["cls"].to_pylist(), t["vec"].to_pylist(), t["code"].to_pylist(), t["slack"].to_numpy(), t["ids"].to_pylist())
 
     return run
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenix.llm import components, neighbours, overlap
+from provenix.llm import clusters, components, neighbours, overlap
 from provenix.plans.registry import Registry
 from provenix.sources.tables import table
 
@@ -40,3 +40,14 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbours.neighbours(table(spark, sf_dir, "media_items"))
     return near.select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
+
+
+# ---- problem 3 ----
+@REG.query()
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clusters(table(spark, sf_dir, "media_items"))
+
+
+@REG.query()
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_report(table(spark, sf_dir, "media_items"))

@@ -175,3 +175,22 @@ def keep_ids(cls: list[bytes], ids: np.ndarray, most: int) -> tuple[np.ndarray,
         if len(kept[-1]) < most and (not kept[-1] or kept[-1][-1] != ids[i]):
             kept[-1].append(int(ids[i]))
     return np.array(first, "i8"), kept, np.fromiter((len(k) for k in kept), "i8", len(kept))
+
+
+def by_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one leaf after the other; the batches are sorted by their first column, the leaf."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        where = np.asarray(batch.column(0))
+        if not len(where):
+            continue
+        ends = np.flatnonzero(np.diff(where)) + 1
+        for a, b in zip([0, *ends], [*ends, len(where)]):
+            if where[a] != at and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = where[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
