@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenix.llm import clusters, components, neighbours, overlap
+from provenix.llm import clusters, components, linkage, neighbours, overlap
 from provenix.plans.registry import Registry
 from provenix.sources.tables import table
 
@@ -51,3 +51,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query()
 def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_report(table(spark, sf_dir, "media_items"))
+
+
+# ---- problem 4 ----
+@REG.query()
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.run_deliveries(table(spark, sf_dir, "media_items")).links().select("id_a", "id_b")
+
+
+@REG.query()
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = linkage.run_deliveries(table(spark, sf_dir, "media_items")).links()
+    return linkage.score(links, linkage.weights(links))
+
+
+@REG.query()
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linker = linkage.run_deliveries(table(spark, sf_dir, "media_items"))
+    for k in range(linker.deliveries):
+        linker.update_clusters(k)
+    return linker.clusters()
