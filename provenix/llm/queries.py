@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenix.llm import clusters, components, linkage, neighbours, overlap
+from provenix.llm import clusters, components, garble, linkage, mixing, neighbours, overlap, packing
 from provenix.plans.registry import Registry
 from provenix.sources.tables import table
 
@@ -71,3 +71,36 @@ def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(linker.deliveries):
         linker.update_clusters(k)
     return linker.clusters()
+
+
+# ---- problem 8 ----
+@REG.query()
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"))
+
+
+@REG.query()
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_report(packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits")))
+
+
+# ---- problem 9 ----
+@REG.query()
+def p9_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+@REG.query()
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+# ---- problem 10 ----
+@REG.query()
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garble.repairs(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+@REG.query()
+def p10_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garble.repairs(table(spark, sf_dir, "documents"))
