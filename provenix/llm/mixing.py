@@ -55,14 +55,24 @@ def exponential_key(seed: int) -> Column:
     return -F.log(u) / F.col("weight")
 
 
-def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int) -> DataFrame:
-    """Per target: available tokens, budget (share of ``total_tokens``), tokens that can be given, and whole epochs."""
+def wanted(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Targets by source with the available tokens; spellings of one source are one target."""
     want = targets.where("source is not null").select(source_key("source").alias("source"), "target_share", "max_repeat")
     want = want.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeat").alias("max_repeat"))
     p = want.join(sizes, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
-    repeat = F.greatest(F.coalesce("max_repeat", F.lit(1)), F.lit(0))
-    p = p.withColumn("budget", F.floor(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)) * total_tokens).cast("bigint"))
-    p = p.withColumn("give", F.least("budget", F.col("available") * repeat))
+    share = F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))
+    return p.withColumn("_share", share).withColumn("most", F.col("available") * F.greatest(F.coalesce("max_repeat", F.lit(1)), F.lit(0)))
+
+
+def reachable_total(want: DataFrame) -> int:
+    """The largest total at which every source that can give anything reaches its share."""
+    least = want.where("most > 0 and _share > 0").agg(F.min(F.floor(F.col("most") / F.col("_share")))).first()[0]
+    return int(least or 0)
+
+
+def plan(want: DataFrame, total_tokens: int) -> DataFrame:
+    """Per target: budget (share of ``total_tokens``), tokens that can be given, whole epochs and the rest."""
+    p = want.withColumn("budget", F.floor(F.col("_share") * total_tokens).cast("bigint")).withColumn("give", F.least("budget", "most"))
     return p.withColumn("epochs", F.when(F.col("available") > 0, F.expr("give div available")).otherwise(0).cast("int")).withColumn("rest", F.col("give") - F.col("epochs") * F.col("available"))
 
 
@@ -72,15 +82,15 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     Chosen: doc_id, source, n_tokens, uses (complete epochs, plus one if drawn for the rest). Report: source,
     target_share, max_repeat, available, budget, tokens, documents, actual_share of all chosen tokens, reachable (whether
     max_repeat times the available tokens reach the budget). Tokens differ from the smaller of budget and that by less than
-    a document. ``total_tokens`` defaults to the tokens of all documents with a target or without one.
+    a document. ``total_tokens`` defaults to the largest total at which every source with documents reaches its share;
+    with a larger one, sources that run out give all they may and the others' actual shares rise.
     Sources without documents get nothing and are reported; documents without a target, a source or tokens are never
     chosen; a max_repeat of null counts as one.
     """
     rows = cut(weighed(documents, tokenizer))
     sizes = rows.groupBy("source").agg(F.sum("n_tokens").alias("available"), F.count(F.lit(1)).alias("documents_available"))
-    if total_tokens is None:
-        total_tokens = int(rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
-    plans = cut(plan(sizes, targets, total_tokens))
+    want = cut(wanted(sizes, targets))
+    plans = cut(plan(want, reachable_total(want) if total_tokens is None else total_tokens))
     few = plans.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
     share = lambda df: F.broadcast(df) if few else df
 
