@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 20
 #: How much cheaper a restored passage must be, in nats, and what an operation costs.
 GAIN, STEP = 4.0, 0.5
+#: The same in a text in which the same operations have restored another passage.
+GAIN_AGAIN = 1.5
 #: Texts from which the search of one passage goes on, and the longest passage searched as one.
 EXPANSIONS, PIECE = 8, 400
 #: Mean surprise of a passage's trigrams from which it is searched.
@@ -195,6 +197,14 @@ class Restorer:
                 else:
                     done.append(piece)
             parts[k] = "".join(done)
+        if used:  # what was done to one passage was likely done to its neighbours, so less speaks for it
+            for k in words:
+                word = parts[k]
+                if _ODD_CHAR.search(word) and len(word) <= PIECE:
+                    out, gain, way = self.search(word)
+                    if gain >= GAIN_AGAIN and " ".join(way) in used:
+                        restored += 1
+                        parts[k] = out
         for k in words:
             word = parts[k]
             if (_LOST.search(word) or _C1.search(word)) and not self._shown(parts, k):
