@@ -116,3 +116,29 @@ def likely_channel(exif: Column, quality: Column, blockiness: Column, screenshot
 
 def verdict(risk_score: Column) -> Column:
     return F.when(risk_score > 65, "Manipulated").when(risk_score > 35, "Suspicious").otherwise("Authentic")
+
+
+# Sizes of screens, longer side first, and ratios of screens.
+SCREENS = ((1920, 1080), (2560, 1440), (1280, 720), (1440, 900), (2340, 1080), (2532, 1170), (2778, 1284))
+RATIOS = (16 / 9, 16 / 10, 4 / 3, 19.5 / 9, 20 / 9, 21 / 9, 18 / 9, 3 / 2, 5 / 4)
+# End of fixed values.
+
+
+def screenshot_score(fmt: Column, exif: Column, width: Column, height: Column, derived: Column, borders: Column, words: Column) -> Column:
+    """15 for PNG, 20 without camera tags, 15 for a screen's size, 10 for its ratio, 15 each for dark borders and text found, 25 if derived.
+
+    Either orientation counts. Signals that are null (borders and words need pixels) add nothing.
+    """
+    yes = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
+    long_, short = F.greatest(width, height), F.least(width, height)
+    screen = F.lit(False)
+    for a, b in SCREENS:
+        screen = screen | ((long_ == a) & (short == b))
+    ratio, near = F.try_divide(width.cast("double"), height), F.lit(False)
+    for r in RATIOS:
+        near = near | (F.abs(ratio - r) < 0.05) | (F.abs(F.try_divide(F.lit(1.0), ratio) - r) < 0.05)
+    return (yes(F.upper(fmt) == "PNG", 15) + yes(~has(exif, "Make", "Model", "LensModel", "DateTimeOriginal"), 20) + yes(screen, 15) + yes(near, 10) + yes(borders, 15) + yes(words >= 3, 15) + yes(derived, 25))
+
+
+def screenshot_band(score: Column) -> Column:
+    return F.when(score >= 60, "Likely Screenshot").when(score >= 30, "Possible Screenshot").otherwise("Inconclusive")
