@@ -105,10 +105,10 @@ def resolve(links: DataFrame, paths: bool = False) -> DataFrame:
     tree = via.where(F.col("_root").isNotNull())
     out = direct.unionByName(tree.select(*shape(F.col("_root"), F.col("d") + F.col("_d"), F.reverse(F.concat("path", "_w", F.array("_root"))) if paths else None)))
     rest = None
-    if circling is not None:
+    if circling is not None or lost is not None:
+        # A splitter may itself lead to a splitterless cycle; then it is lost, and so is what stopped at it.
         rest = via.where(F.col("_root").isNull()).select("node")
-    if lost is not None:
-        rest = lost.select("node") if rest is None else rest.unionByName(lost.select("node"))
+        rest = rest if lost is None else rest.unionByName(lost.select("node"))
     if rest is not None:
         ring = rest.join(links, "node").select("node", F.col("parent").alias("ptr"), F.col("node").alias("mn"))
         out = out.unionByName(_cycles(cut(ring)).select(

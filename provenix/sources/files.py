@@ -23,7 +23,7 @@ def pictures(df: DataFrame, path: str) -> DataFrame:
 
 
 def binary_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(path, modificationTime, length, content) of the pictures below a folder; content is read only if selected."""
+    """(path, modificationTime, length, content) of the pictures below a folder that are not empty; content is read only if selected."""
     glob = "*.{" + ",".join(x for e in PICTURES for x in (e, e.upper())) + "}"
     return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).load(folder)
 
