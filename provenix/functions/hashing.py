@@ -42,22 +42,21 @@ def differing_bits(a: Column | str, b: Column | str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", x, F.lit(63) - i) == 1)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once; an expression named twice would be worked out twice."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def median64(v: Column | str) -> Column:
     """Exact median of 64 values: the mean of the middle two."""
-    s = F.array_sort(F.transform(_col(v), lambda x: x.cast("double")))
-    return (F.element_at(s, 32) + F.element_at(s, 33)) / 2
+    return _let(F.array_sort(_col(v)), lambda s: (F.element_at(s, 32).cast("double") + F.element_at(s, 33).cast("double")) / 2)
 
 
 def bits_to_hex(bits: Column) -> Column:
-    """16 hex digits of 64 booleans, most significant first, four to a digit."""
-    digits = "0123456789abcdef"
-    one = lambda b, w: F.when(b, w).otherwise(0)
-    def digit(k: Column) -> Column:
-        at = k * 4
-        n = one(F.element_at(bits, at + 1), 8) + one(F.element_at(bits, at + 2), 4) + one(F.element_at(bits, at + 3), 2) + one(F.element_at(bits, at + 4), 1)
-        return F.substring(F.lit(digits), n + 1, F.lit(1))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), digit), "")
+    """16 hex digits of 64 booleans, most significant first."""
+    text = F.array_join(F.transform(bits, lambda b: F.when(b, "1").otherwise("0")), "")
+    half = lambda t, at: F.lpad(F.lower(F.conv(F.substring(t, at, 32), 2, 16)), 8, "0")
+    return _let(text, lambda t: F.concat(half(t, 1), half(t, 33)))
 
 
 def hash_of_grid(v: Column | str, kind: str) -> Column:
@@ -66,19 +65,18 @@ def hash_of_grid(v: Column | str, kind: str) -> Column:
     Null unless the array has exactly 64 non-null values.
     """
     c = _col(v)
-    x = F.transform(c, lambda e: e.cast("double"))
-    if kind == "p":
-        bits = F.transform(x, lambda e: e > median64(v))
-    elif kind == "a":
-        mean = F.aggregate(x, F.lit(0.0), lambda s, e: s + e) / 64
-        bits = F.transform(x, lambda e: e > mean)
-    elif kind == "d":
-        turned = F.concat(F.slice(x, 2, 63), F.slice(x, 1, 1))
-        bits = F.zip_with(x, turned, lambda a, b: a > b)
-    else:
+
+    def bits(x: Column) -> Column:
+        if kind == "p":
+            return _let(median64(x), lambda m: F.transform(x, lambda e: e > m))
+        if kind == "a":
+            return _let(F.aggregate(x, F.lit(0.0), lambda s, e: s + e) / 64, lambda m: F.transform(x, lambda e: e > m))
+        return F.zip_with(x, F.concat(F.slice(x, 2, 63), F.slice(x, 1, 1)), lambda a, b: a > b)
+
+    if kind not in ("p", "a", "d"):
         raise ValueError(kind)
     whole = (F.size(c) == 64) & ~F.exists(c, lambda e: e.isNull())
-    return F.when(whole, bits_to_hex(bits))
+    return F.when(whole, _let(F.transform(c, lambda e: e.cast("double")), lambda x: bits_to_hex(bits(x))))
 
 
 def match_band(distance: Column) -> Column:

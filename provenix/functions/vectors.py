@@ -6,10 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, e: s + F.coalesce(e, F.lit(0.0)))
-
-
 def nonzero(v: Column | str) -> Column:
     """Whether any element differs from zero; null and empty arrays have none."""
     c = F.col(v) if isinstance(v, str) else v
@@ -18,12 +14,15 @@ def nonzero(v: Column | str) -> Column:
 
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine of two vectors; 0 for null, empty, unequal length, missing or not-a-number elements or zero norm."""
-    x = F.transform(F.col(a) if isinstance(a, str) else a, lambda e: e.cast("double"))
-    y = F.transform(F.col(b) if isinstance(b, str) else b, lambda e: e.cast("double"))
-    clean = lambda v: ~F.exists(v, lambda e: e.isNull() | F.isnan(e))
-    norm = F.sqrt(_dot(x, x)) * F.sqrt(_dot(y, y))
-    ok = (F.size(x) > 0) & (F.size(x) == F.size(y)) & clean(x) & clean(y)
-    return F.coalesce(F.when(ok & (norm > 0), _dot(x, y) / norm), F.lit(0.0))
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    ok = (F.size(x) > 0) & (F.size(x) == F.size(y))
+    # One pass over both: dot product and squared norms; a null or NaN element makes all of them useless.
+    d = lambda e: F.coalesce(e.cast("double"), F.lit(float("nan")))
+    zero = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
+    add = lambda s, e: F.struct((s["d"] + e["u"] * e["v"]).alias("d"), (s["p"] + e["u"] * e["u"]).alias("p"), (s["q"] + e["v"] * e["v"]).alias("q"))
+    end = lambda s: F.when(~F.isnan(s["d"] + s["p"] + s["q"]) & (s["p"] > 0) & (s["q"] > 0), s["d"] / (F.sqrt(s["p"]) * F.sqrt(s["q"]))).otherwise(0.0)
+    pairs = F.zip_with(x, y, lambda u, v: F.struct(d(u).alias("u"), d(v).alias("v")))
+    return F.coalesce(F.when(ok, F.aggregate(pairs, zero, add, end)), F.lit(0.0))
 
 
 def audio_similarity(has1: Column, frames1: Column, mean1: Column, has2: Column, frames2: Column, mean2: Column) -> Column:
