@@ -47,9 +47,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget how it was made; survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared folder and forget how it was made; survives the loss of executors.
+
+    A checkpoint still carries the constraints of its plan, which in a loop of joins grow with every round until planning
+    takes longer than running; so the rows are handed on as a plan of their own.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def shared_table(spark: SparkSession, name: str) -> str:
