@@ -28,9 +28,9 @@ def diagnostics(matches: DataFrame, items: DataFrame, origin_confidence: int = 5
         F.count(F.lit(1)).alias("n_matches"), F.coalesce(F.avg("visual_similarity"), F.lit(1.0)).alias("v"), F.coalesce(F.avg("semantic_similarity"), F.lit(1.0)).alias("m"), F.count_if(F.col("semantic_similarity") < 0.75).alias("low"))
     dirt = F.expr("cast(low * 100 div n_matches as int)")
     return g.withColumn("contamination", dirt).select(
-        *_GROUP, "n_matches", F.round("v", 6).alias("avg_visual"), F.round("m", 6).alias("avg_semantic"), "contamination",
+        *_GROUP, "n_matches", F.round("v", 9).alias("avg_visual"), F.round("m", 9).alias("avg_semantic"), "contamination",
         F.when(F.col("contamination") <= 20, "Healthy").when(F.col("contamination") <= 50, "Review Recommended").otherwise("Possible Contamination").alias("health"),
-        F.round(0.4 * (100 - F.col("contamination")) + 0.4 * origin_confidence + 20 * F.col("v"), 6).alias("reliability"))
+        F.round(0.4 * (100 - F.col("contamination")) + 0.4 * origin_confidence + 20 * F.col("v"), 9).alias("reliability"))
 
 
 def shares(items: DataFrame) -> DataFrame:

@@ -51,9 +51,9 @@ def a5_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query(mi("case_id", "cluster_id") + """, r AS (SELECT DISTINCT id, source_id, target_id, visual_similarity, semantic_similarity FROM media_relationships),
 e AS (SELECT s.case_id, s.cluster_id, r.visual_similarity AS v, r.semantic_similarity AS m FROM r JOIN mi s ON s.id = r.source_id JOIN mi t ON t.id = r.target_id AND t.case_id = s.case_id AND t.cluster_id = s.cluster_id),
 g AS (SELECT case_id, cluster_id, count(*) AS n_matches, coalesce(avg(v), 1) AS avg_visual, coalesce(avg(m), 1) AS avg_semantic, count_if(m < 0.75) AS low FROM e GROUP BY 1, 2)
-SELECT case_id, cluster_id, n_matches, round(avg_visual, 6) AS avg_visual, round(avg_semantic, 6) AS avg_semantic, trunc(low * 100 / n_matches)::INT AS contamination,
+SELECT case_id, cluster_id, n_matches, round(avg_visual, 9) AS avg_visual, round(avg_semantic, 9) AS avg_semantic, trunc(low * 100 / n_matches)::INT AS contamination,
 CASE WHEN trunc(low * 100 / n_matches) <= 20 THEN 'Healthy' WHEN trunc(low * 100 / n_matches) <= 50 THEN 'Review Recommended' ELSE 'Possible Contamination' END AS health,
-round(0.4 * (100 - trunc(low * 100 / n_matches)) + 0.4 * 50 + 20 * avg_visual, 6) AS reliability FROM g""")
+round(0.4 * (100 - trunc(low * 100 / n_matches)) + 0.4 * 50 + 20 * avg_visual, 9) AS reliability FROM g""")
 def a6_cluster_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "media_relationships").select("id", "source_id", "target_id", "visual_similarity", "semantic_similarity").distinct()
     return families.diagnostics(r, items(spark, sf_dir, "case_id", "cluster_id"))

@@ -24,10 +24,10 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 c = F.col
 
 
-@REG.query(_SIDES + "SELECT source_id, target_id, dp AS p_distance, dd AS d_distance, da AS a_distance, round(coalesce(vis, 0), 6) AS visual_similarity FROM sc")
+@REG.query(_SIDES + "SELECT source_id, target_id, dp AS p_distance, dd AS d_distance, da AS a_distance, round(coalesce(vis, 0), 9) AS visual_similarity FROM sc")
 def e1_e3_hash_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pairs(spark, sf_dir)
-    return p.select("source_id", "target_id", c("dp").alias("p_distance"), c("dd").alias("d_distance"), c("da").alias("a_distance"), F.round(F.coalesce("vis", F.lit(0.0)), 6).alias("visual_similarity"))
+    return p.select("source_id", "target_id", c("dp").alias("p_distance"), c("dd").alias("d_distance"), c("da").alias("a_distance"), F.round(F.coalesce("vis", F.lit(0.0)), 9).alias("visual_similarity"))
 
 
 @REG.query(_SIDES + "SELECT source_id, target_id, round(coalesce(cos0, 0), 6) AS cosine FROM sc")

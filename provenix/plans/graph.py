@@ -52,7 +52,7 @@ def g3_approve_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REG.query(_SIDES + """, e AS (SELECT source_id AS a, target_id AS b, score, dp FROM sg WHERE c1 = c2 AND k1 = k2 AND score IS NOT NULL),
 o AS (SELECT x.id AS id, e.score, (x.width < y.width AND x.height < y.height AND x.width > 0) OR e.dp <= 8 AS ok FROM e JOIN it x ON x.id IN (e.a, e.b) JOIN it y ON y.id IN (e.a, e.b) AND y.id <> x.id WHERE y.created_at < x.created_at OR (y.created_at = x.created_at AND y.id < x.id)),
-l AS (SELECT id, max(round(score, 6)) AS score FROM o WHERE ok GROUP BY 1), g AS (SELECT m.case_id, m.cluster_id, count(*) AS n_nodes, count(l.id) AS n_links, coalesce(trunc(avg(l.score) * 100)::INT, 10) AS confidence FROM mi m LEFT JOIN l ON l.id = m.id WHERE m.cluster_id IS NOT NULL GROUP BY 1, 2)
+l AS (SELECT id, max(score) AS score FROM o WHERE ok GROUP BY 1), g AS (SELECT m.case_id, m.cluster_id, count(*) AS n_nodes, count(l.id) AS n_links, coalesce(trunc(avg(l.score) * 100)::INT, 10) AS confidence FROM mi m LEFT JOIN l ON l.id = m.id WHERE m.cluster_id IS NOT NULL GROUP BY 1, 2)
 SELECT case_id, cluster_id, n_nodes, n_links, n_nodes - n_links AS n_unresolved, confidence, confidence < 40 OR n_links = 0 AS inconclusive, CASE WHEN n_nodes < 20 THEN 'full' WHEN n_nodes <= 100 THEN 'collapsible' ELSE 'summary' END AS graph_type FROM g""")
 def g6_lineage_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.payload(items(spark, sf_dir, "case_id", "cluster_id").where("cluster_id is not null"), j6_chronology(spark, sf_dir))

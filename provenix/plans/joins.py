@@ -25,18 +25,18 @@ _HASHED = mi("case_id", "phash", "dhash", "ahash", "filename") + f""", h AS (SEL
 _VIS = f"0.5 * (1 - {_dist('p')} / 64.0::DOUBLE) + 0.3 * (1 - {_dist('d')} / 64.0::DOUBLE) + 0.2 * (1 - {_dist('a')} / 64.0::DOUBLE)"
 
 
-@REG.query(_HASHED + f"""SELECT x.id AS probe_id, y.id AS id, round({_VIS}, 6) AS visual_similarity FROM h x JOIN h y ON x.id <> y.id
+@REG.query(_HASHED + f"""SELECT x.id AS probe_id, y.id AS id, round({_VIS}, 9) AS visual_similarity FROM h x JOIN h y ON x.id <> y.id
 WHERE x.id % 50 = 0 AND x.p IS NOT NULL AND y.p IS NOT NULL AND {_VIS} >= 0.75""")
 def j1_probe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = items(spark, sf_dir, "phash", "dhash", "ahash")
-    return pairs.probe_join(d, d.where("id % 50 = 0"), 0.75).withColumn("visual_similarity", F.round("visual_similarity", 6))
+    return pairs.probe_join(d, d.where("id % 50 = 0"), 0.75).withColumn("visual_similarity", F.round("visual_similarity", 9))
 
 
-@REG.query(_HASHED + f"""SELECT x.id AS probe_id, y.id AS id, round({_VIS}, 6) AS visual_similarity FROM h x JOIN h y ON x.case_id = y.case_id AND x.id <> y.id
+@REG.query(_HASHED + f"""SELECT x.id AS probe_id, y.id AS id, round({_VIS}, 9) AS visual_similarity FROM h x JOIN h y ON x.case_id = y.case_id AND x.id <> y.id
 WHERE x.id % 50 = 0 AND x.p IS NOT NULL AND y.p IS NOT NULL AND {_VIS} >= 0.5""")
 def j2_case_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = items(spark, sf_dir, "case_id", "phash", "dhash", "ahash")
-    return pairs.probe_join(d, d.where("id % 50 = 0"), 0.5, same="case_id").withColumn("visual_similarity", F.round("visual_similarity", 6))
+    return pairs.probe_join(d, d.where("id % 50 = 0"), 0.5, same="case_id").withColumn("visual_similarity", F.round("visual_similarity", 9))
 
 
 _COS = "CASE WHEN len(x.embedding) = len(y.embedding) AND len(x.embedding) > 0 AND x.ok AND y.ok THEN list_cosine_similarity(x.embedding, y.embedding) END"
@@ -75,16 +75,16 @@ def j3_stage0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("source_id", "target_id", "dp", "dd", "da", ok.alias("candidate"))
 
 
-@REG.query(_SIDES + """SELECT source_id, target_id, round(vis, 6) AS visual, round(sem, 6) AS semantic, round(ar, 6) AS aspect, round(score, 6) AS score,
+@REG.query(_SIDES + """SELECT source_id, target_id, round(vis, 9) AS visual, round(sem, 9) AS semantic, round(ar, 9) AS aspect, score,
 CASE WHEN score >= 0.85 THEN 'High Match' WHEN score >= 0.58 THEN 'Possible Match' ELSE 'No Significant Match' END AS level,
 CASE WHEN score >= 0.95 THEN 'Highly Correlated Match' WHEN score >= 0.85 THEN 'Strong Relationship' WHEN score >= 0.70 THEN 'Moderately Altered Variation' ELSE 'Weak Similarity Match' END AS strength FROM sg WHERE score >= 0.58""")
 def j4_pair_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pairs(spark, sf_dir).where(F.col("score") >= scoring.DEFAULT.match)
-    return p.select("source_id", "target_id", F.round("vis", 6).alias("visual"), F.round("sem", 6).alias("semantic"), F.round("ar", 6).alias("aspect"), F.round("score", 6).alias("score"),
+    return p.select("source_id", "target_id", F.round("vis", 9).alias("visual"), F.round("sem", 9).alias("semantic"), F.round("ar", 9).alias("aspect"), "score",
                     scoring.match_level(F.col("score")).alias("level"), scoring.match_strength(F.col("score")).alias("strength"))
 
 
-_BOTH = """, edge AS (SELECT source_id AS id, target_id AS other, round(score, 6) AS score FROM sg WHERE c1 = c2 AND k1 = k2 UNION ALL SELECT target_id, source_id, round(score, 6) FROM sg WHERE c1 = c2 AND k1 = k2)
+_BOTH = """, edge AS (SELECT source_id AS id, target_id AS other, score FROM sg WHERE c1 = c2 AND k1 = k2 UNION ALL SELECT target_id, source_id, score FROM sg WHERE c1 = c2 AND k1 = k2)
 """
 
 
@@ -93,13 +93,13 @@ _BOTH = """, edge AS (SELECT source_id AS id, target_id AS other, round(score, 6
 SELECT id, other AS parent_id, score FROM cand WHERE rn = 1""")
 def j5_best_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best parent of a cluster member among the members it has a match with: highest score, at least its pixels."""
-    p = _pairs(spark, sf_dir).where("s.case_id = t.case_id and s.cluster_id = t.cluster_id and score is not null").withColumn("score", F.round("score", 6))
+    p = _pairs(spark, sf_dir).where("s.case_id = t.case_id and s.cluster_id = t.cluster_id and score is not null")
     px = lambda s: F.coalesce(F.col(f"{s}.width").cast("bigint") * F.col(f"{s}.height"), F.lit(0))
     one = lambda a, b: p.where(px(b) >= px(a)).select(F.col(f"{a}.id").alias("id"), F.struct((-F.col("score")).alias("s"), F.col(f"{b}.id").alias("o")).alias("c"))
     return one("s", "t").unionByName(one("t", "s")).groupBy("id").agg(F.min("c").alias("c")).select("id", F.col("c.o").alias("parent_id"), (-F.col("c.s")).alias("score"))
 
 
-@REG.query(_SIDES + """, e AS (SELECT source_id AS a, target_id AS b, round(score, 6) AS score, dp FROM sg WHERE c1 = c2 AND k1 = k2 AND score IS NOT NULL),
+@REG.query(_SIDES + """, e AS (SELECT source_id AS a, target_id AS b, score, dp FROM sg WHERE c1 = c2 AND k1 = k2 AND score IS NOT NULL),
 ord AS (SELECT x.id AS id, y.id AS other, e.score, list_filter([CASE WHEN x.width < y.width AND x.height < y.height AND x.width > 0 THEN 'Dimension reduction' END, CASE WHEN e.dp <= 8 THEN 'pHash similarity' END], lambda r: r IS NOT NULL) AS reasons
  FROM e JOIN it x ON x.id IN (e.a, e.b) JOIN it y ON y.id IN (e.a, e.b) AND y.id <> x.id WHERE y.created_at < x.created_at OR (y.created_at = x.created_at AND y.id < x.id)),
 best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS rn FROM ord WHERE len(reasons) > 0)
@@ -108,7 +108,7 @@ def j6_chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best earlier match with at least one reason to believe in it; ties go to the smaller id."""
     p = _pairs(spark, sf_dir).where("s.case_id = t.case_id and s.cluster_id = t.cluster_id and score is not null")
     first = F.struct("s.created_at", "s.id") < F.struct("t.created_at", "t.id")
-    x = p.where("s.created_at is not null and t.created_at is not null").select(F.when(first, F.col("t")).otherwise(F.col("s")).alias("x"), F.when(first, F.col("s")).otherwise(F.col("t")).alias("y"), F.round("score", 6).alias("score"), "dp")
+    x = p.where("s.created_at is not null and t.created_at is not null").select(F.when(first, F.col("t")).otherwise(F.col("s")).alias("x"), F.when(first, F.col("s")).otherwise(F.col("t")).alias("y"), "score", "dp")
     smaller = (F.col("x.width") < F.col("y.width")) & (F.col("x.height") < F.col("y.height")) & (F.col("x.width") > 0)
     reasons = F.array_compact(F.array(F.when(smaller, "Dimension reduction"), F.when(F.col("dp") <= 8, "pHash similarity")))
     c = x.withColumn("reasons", reasons).where(F.size("reasons") > 0)

@@ -23,7 +23,7 @@ def spark():
 
 def _cell(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else float(f"{v:.6g}")
+        return None if math.isnan(v) else float(f"{v:.11g}")
     if isinstance(v, (list, tuple)):
         return tuple(_cell(x) for x in v)
     if isinstance(v, dict):
