@@ -78,7 +78,7 @@ class Linker:
         if k:
             # Old keys are only probed; new ones probe, and are probed as well.
             probe = probe.unionByName(self._read("keys", k + 1, keys).withColumn("side", F.lit(2)))
-        near = hamming.close_pairs(probe, self.radius, r, self.radius)
+        near = cut(hamming.close_pairs(probe, self.radius, r, self.radius))
         turned = near.select(F.col("p_b").alias("p_a"), F.col("d_b").alias("d_a"), F.col("p_a").alias("p_b"), F.col("d_a").alias("d_b"), "dist_p", "dist_d")
         same = classes.select(F.col("p").alias("p_a"), F.col("d").alias("d_a"), F.col("p").alias("p_b"), F.col("d").alias("d_b"), F.lit(0).alias("dist_p"), F.lit(0).alias("dist_d"))
         pairs = near.unionByName(turned).unionByName(same)
@@ -88,7 +88,7 @@ class Linker:
 
         every = self._read("items", k + 1, kind).where("batch_id is not null")
         mine = new.where("batch_id is not null")
-        half = salted_pairs(mine.where("p is not null").select(F.col("id").alias("x"), F.col("batch_id").alias("bx"), F.struct(F.col("p").alias("p_a"), F.col("d").alias("d_a")).alias("ka")), pairs, "ka").drop("ka")
+        half = cut(salted_pairs(mine.where("p is not null").select(F.col("id").alias("x"), F.col("batch_id").alias("bx"), F.struct(F.col("p").alias("p_a"), F.col("d").alias("d_a")).alias("ka")), pairs, "ka").drop("ka"))
         other = every.where("p is not null").select(F.col("id").alias("y"), F.col("batch_id").alias("b_y"), F.struct(F.col("p").alias("p_b"), F.col("d").alias("d_b")).alias("kb"))
         by_code = salted_pairs(half, other, "kb", condition=F.col("bx") != F.col("b_y")).select("x", "y", "bx", "b_y", F.lit(False).alias("same_sha"), "dist_p", "dist_d")
         sha = salted_pairs(mine.where("sha is not null").select(F.col("id").alias("x"), F.col("batch_id").alias("bx"), "sha"),
