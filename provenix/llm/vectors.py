@@ -25,6 +25,9 @@ LEAF_ROWS, MAX_LEAVES = 1000, 4000
 SAMPLE_PER_LEAF, LEAST_SAMPLE = 10, 8000
 #: How much less similar than the nearest centre another centre may be and still get a copy.
 MARGIN = 0.06
+#: Most leaves a row is copied to. Only where a large share of all rows lies in one tight bundle do more centres come that
+#: near; there every leaf holds far more neighbours than are asked for, and any few leaves in common tie the bundle together.
+MOST_COPIES = 8
 
 
 def usable_rows(column: pa.Array, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
@@ -148,12 +151,16 @@ def nearest(x: np.ndarray, c: np.ndarray, step: int = 4096) -> np.ndarray:
     return np.concatenate([(x[i:i + step] @ c.T).argmax(1) for i in range(0, len(x), step)])
 
 
-def leaves_of(x: np.ndarray, c: np.ndarray, margin: float, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) for the nearest centre of each row and all that are less than ``margin`` worse."""
+def leaves_of(x: np.ndarray, c: np.ndarray, margin: float, step: int = 1024, most: int = MOST_COPIES) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) for the nearest centre of each row and those that are less than ``margin`` worse, the ``most`` nearest."""
     rows, leaf = [], []
     for i in range(0, len(x), step):
         s = x[i:i + step].astype("f4") @ c.T
-        a, b = np.nonzero(s >= s.max(1, keepdims=True) - np.float32(margin))
+        near = s >= s.max(1, keepdims=True) - np.float32(margin)
+        for r in np.flatnonzero(near.sum(1) > most):
+            near[r] = False
+            near[r, np.argsort(-s[r], kind="stable")[:most]] = True
+        a, b = np.nonzero(near)
         rows.append(a + i)
         leaf.append(b)
     return np.concatenate(rows), np.concatenate(leaf)
