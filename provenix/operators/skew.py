@@ -40,3 +40,11 @@ def salted_lookup(many: DataFrame, one: DataFrame, key: str, salts: int = 32, ho
     left = many.withColumn("_salt", F.when(is_hot, F.floor(F.rand(7) * salts)).otherwise(F.lit(0)).cast("int"))
     right = one.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` hashed by the columns over ``spark.sql.shuffle.partitions`` partitions, which are not merged afterwards.
+
+    For stages that compute much per row: merging partitions by their bytes would leave a few long tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
