@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from provenix.llm import vectors
 from provenix.llm.components import components
-from provenix.operators.skew import salted_lookup
+from provenix.operators.skew import salted_lookup, spread
 from provenix.session import cut
 
 #: Least cosine of any two members of a compact node.
@@ -163,7 +163,7 @@ def cluster_classes(items: DataFrame, cosine: float = COSINE, margin: float = ve
 
     rows = source.where(F.col("id").isNotNull() & (F.size("embedding") == vectors.DIM)).select("id", F.col("embedding").cast("array<double>"))
     routed = rows.mapInArrow(route, "leaf int, cls binary, vec binary, ids array<bigint>")
-    local = routed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(work, "cls binary, root bigint")
+    local = spread(routed, "leaf").sortWithinPartitions("leaf").mapInArrow(work, "cls binary, root bigint")
     roots = cut(local.groupBy("cls").agg(F.min("root").alias("root"), F.collect_set("root").alias("all")))
     clash = roots.where(F.size("all") > 1).select("root", F.explode("all").alias("other")).where("other <> root")
     joined = components(clash).select(F.col("node").alias("root"), F.col("group_id").alias("_g"))

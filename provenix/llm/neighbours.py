@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenix.llm import quantise, vectors
-from provenix.operators.skew import salted_lookup
+from provenix.operators.skew import salted_lookup, spread
 
 #: Neighbours per vector, and the least cosine of a neighbour.
 K, COSINE = 5, 0.90
@@ -126,7 +126,7 @@ def neighbours(items: DataFrame, k: int = K, cosine: float = COSINE, margin: flo
     book = quantise.fit(sample[:: max(1, len(sample) // vectors.LEAST_SAMPLE)])
     rows = source.where(F.col("id").isNotNull() & (F.size("embedding") == vectors.DIM)).select("id", F.col("embedding").cast("array<double>"))
     routed = rows.mapInArrow(_route(centres, book, k, cosine, margin), _ROUTED)
-    near = routed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_search(book, k, cosine), "cls binary, ids array<bigint>, cos array<double>")
+    near = spread(routed, "leaf").sortWithinPartitions("leaf").mapInArrow(_search(book, k, cosine), "cls binary, ids array<bigint>, cos array<double>")
     best = near.select("cls", F.arrays_zip(F.transform("cos", lambda c: -c).alias("c"), F.col("ids").alias("i")).alias("z"))
     best = best.groupBy("cls").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("z")))), 1, k + 1).alias("z"))
     asked = salted_lookup(vectors.members(items), best, "cls", how="inner")
