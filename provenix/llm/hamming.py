@@ -162,5 +162,5 @@ def close_pairs(keyed: DataFrame, radius: int, r: int, radius_d: int = 64) -> Da
         rows = rows.select("*", n.alias("_n"), other).withColumn("part", (F.least("chunk", "_o") * F.col("_n") + F.greatest("chunk", "_o")).cast("int")).drop("_n", "_o")
     else:
         rows = rows.withColumn("chunk", F.lit(0)).withColumn("part", F.lit(0))
-    spread = spread(rows, "bucket", "part").sortWithinPartitions("bucket", "part")
-    return spread.mapInArrow(_compare(radius, r, radius_d, chunks), "p_a bigint, d_a bigint, p_b bigint, d_b bigint, dist_p int, dist_d int")
+    sorted_ = spread(rows, "bucket", "part").sortWithinPartitions("bucket", "part")
+    return sorted_.mapInArrow(_compare(radius, r, radius_d, chunks), "p_a bigint, d_a bigint, p_b bigint, d_b bigint, dist_p int, dist_d int")
