@@ -16,8 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenix.functions.hashing import code, usable
 from provenix.operators.skew import hot_keys, spread
 
+__all__ = ["blocks", "close_pairs", "code", "keys", "matching_blocks", "usable", "with_keys"]
+
 #: Rows of one bucket that a task compares with as many others; larger buckets are cut into such chunks.
 CHUNK = 60_000
 #: Elements of one comparison matrix held at a time.
@@ -26,18 +29,6 @@ _CELLS = 1 << 20
 _ROW_S, _PAIR_S = 1.5e-6, 4e-9
 
 
-def usable(hash_: str) -> Column:
-    """Whether a hash is 16 hexadecimal digits without surrounding blanks; null is not."""
-    return F.coalesce(F.trim(F.col(hash_)).rlike("^[0-9A-Fa-f]{16}$"), F.lit(False))
-
-
-def code(hash_: str) -> Column:
-    """The 64 bits of a usable hash as bigint; null otherwise."""
-    h = F.trim(F.col(hash_))
-    half = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("bigint")
-    return F.when(usable(hash_), F.shiftleft(half(1), 32).bitwiseOR(half(9)))
-
-
 def blocks(radius: int, r: int) -> list[tuple[int, int]]:
     """(first bit, bits) of ``radius + r`` blocks that cover 64 bits."""
     n = radius + r
