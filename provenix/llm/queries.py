@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenix.llm import clusters, components, garble, linkage, mixing, neighbours, overlap, packing
+from provenix.llm import clusters, components, garble, linkage, mixing, neighbours, overlap, packing, sql
 from provenix.plans.registry import Registry
 from provenix.sources.tables import table
 
@@ -13,7 +13,7 @@ REG = Registry()
 
 
 # ---- problem 1 ----
-@REG.query()
+@REG.query(sql.P1)
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = overlap.overlaps(table(spark, sf_dir, "dataset_audit"))
     return found.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))
@@ -25,7 +25,7 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- problem 7 ----
-@REG.query()
+@REG.query(sql.P7)
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.media_groups(table(spark, sf_dir, "media_items"), table(spark, sf_dir, "media_relationships"))
 
@@ -36,14 +36,14 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- problem 6 ----
-@REG.query()
+@REG.query(sql.P6)
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbours.neighbours(table(spark, sf_dir, "media_items"))
     return near.select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
 
 
 # ---- problem 3 ----
-@REG.query()
+@REG.query(sql.P3)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clusters(table(spark, sf_dir, "media_items"))
 
@@ -54,7 +54,7 @@ def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- problem 4 ----
-@REG.query()
+@REG.query(sql.P4)
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.run_deliveries(table(spark, sf_dir, "media_items")).links().select("id_a", "id_b")
 
