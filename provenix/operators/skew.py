@@ -25,21 +25,38 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT
     return [(r[0], r[1]) for r in top if r[1] > share * total]
 
 
-def salted_lookup(many: DataFrame, one: DataFrame, key: str, salts: int = 32, how: str = "left",
-                  hot: list[tuple[object, int]] | None = None) -> DataFrame:
+def hot_hashes(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT_ROWS) -> list[int]:
+    """Hashes of the hot keys, whatever their type; keys that share such a hash are merely salted along."""
+    hashed = df.where(F.col(key).isNotNull()).select(F.xxhash64(F.col(key)).alias("_h"))
+    return [k for k, _ in hot_keys(hashed, "_h", share, least)]
+
+
+def salt_many(df: DataFrame, key: str, hot: list[int], salts: int) -> DataFrame:
+    """``df`` with ``_salt``: one of ``salts`` for rows of hot keys, 0 for others.
+
+    The salt is a hash of the row, so a task that runs again after a loss deals its rows out alike.
+    """
+    hashed = [F.col(c) for c, kind in df.dtypes if "map<" not in kind and kind not in ("variant", "void")]
+    salt = F.pmod(F.xxhash64(*hashed, F.lit(7)), F.lit(salts))
+    return df.withColumn("_salt", F.when(F.xxhash64(F.col(key)).isin(hot), salt).otherwise(F.lit(0)).cast("int"))
+
+
+def salt_all(df: DataFrame, key: str, hot: list[int], salts: int) -> DataFrame:
+    """``df`` with ``_salt``: rows of hot keys once for each of ``salts``, others once with 0."""
+    return df.withColumn("_salt", F.explode(F.when(F.xxhash64(F.col(key)).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+
+
+def salted_lookup(many: DataFrame, one: DataFrame, key: str, salts: int = 32, how: str = "left", hot: list[int] | None = None) -> DataFrame:
     """Join ``many`` with ``one`` on ``key`` where ``one`` has each key once.
 
     Rows of hot keys in ``many`` are spread over ``salts`` partitions and the single row of ``one`` is repeated as
-    often; all other rows join as usual. Null keys find nothing. ``many`` is never repeated or dropped.
+    often; all other rows join as usual. Null keys find nothing. ``many`` is never repeated or dropped. ``hot`` are the
+    hashes of the hot keys, if known.
     """
-    hot = hot_keys(many, key) if hot is None else hot
+    hot = hot_hashes(many, key) if hot is None else hot
     if not hot:
         return many.join(one, key, how)
-    keys = [k for k, _ in hot]
-    is_hot = F.coalesce(F.col(key).isin(keys), F.lit(False))
-    left = many.withColumn("_salt", F.when(is_hot, F.floor(F.rand(7) * salts)).otherwise(F.lit(0)).cast("int"))
-    right = one.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return salt_many(many, key, hot, salts).join(salt_all(one, key, hot, salts), [key, "_salt"], how).drop("_salt")
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
