@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from provenix.operators.skew import hot_keys
+from provenix.operators.skew import hot_hashes, salt_all, salt_many
 
 
 def salted_pairs(left: DataFrame, right: DataFrame, key: str, salts: int = 32, condition=None) -> DataFrame:
@@ -14,12 +13,9 @@ def salted_pairs(left: DataFrame, right: DataFrame, key: str, salts: int = 32, c
     Rows of ``left`` are dealt to one salt each, those of ``right`` with a hot key go to all salts, so every pair meets
     exactly once. The columns of both sides but the key must differ.
     """
-    hot = [k for k, _ in hot_keys(left, key)]
+    hot = hot_hashes(left, key)
     if not hot:
         out = left.join(right, key)
     else:
-        is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-        a = left.withColumn("_salt", F.when(is_hot, F.floor(F.rand(11) * salts)).otherwise(0).cast("int"))
-        b = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-        out = a.join(b, [key, "_salt"]).drop("_salt")
+        out = salt_many(left, key, hot, salts).join(salt_all(right, key, hot, salts), [key, "_salt"]).drop("_salt")
     return out if condition is None else out.where(condition)

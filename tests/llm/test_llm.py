@@ -342,3 +342,40 @@ def test_other_queries_run(spark):
             continue
         df = plan(spark, SF)
         assert df.columns and df.count() >= 0, name
+
+
+@pytest.fixture()
+def hot(monkeypatch):
+    """Keys with more than 20 rows count as hot, so the salted paths run on small tables."""
+    from provenix.operators import skew
+
+    real = skew.hot_keys
+    low = lambda df, key, share=1 / 256, least=20: real(df, key, share, min(least, 20))
+    monkeypatch.setattr(skew, "hot_keys", low)
+    monkeypatch.setattr(components, "HOT_ROWS", 0)
+
+
+def test_hot_groups_lose_and_repeat_nothing(spark, hot):
+    """A third of all rows in one group: components, overlaps, linkage and neighbours with salted keys."""
+    edges = [(1, i) for i in range(2, 120)] + [(500 + i, 501 + i) for i in range(40)]
+    df = spark.createDataFrame(edges, "u bigint, v bigint")
+    assert sorted(tuple(r) for r in components.components(df).collect()) == sorted(_brute_groups(edges))
+
+    rows = [(i, None, f"n{i}.jpg", "train" if i % 3 else "test", "same" if i < 60 else f"s{i}", _hex(7 if i < 60 else i * 0x9E3779B97F4A7C15), 1, 1, None, None, None) for i in range(120)]
+    audit = spark.createDataFrame(rows, AUDIT)
+    want = {(a[0], b[0]) for a in rows for b in rows if a[3] == "train" and b[3] == "test" and (a[4] == b[4] or (int(a[5], 16) ^ int(b[5], 16)).bit_count() <= 6)}
+    got = [(r.train_id, r.eval_id) for r in overlap.overlaps(audit).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+    items = [(i, i % 9, "same" if i < 40 else f"s{i}", _hex(5), _hex(6 if i < 60 else i * 0x9E3779B97F4A7C15), None) for i in range(90)]
+    links = linkage.run_deliveries(spark.createDataFrame(items, ITEM)).links().collect()
+    near = lambda a, b: a[2] == b[2] or (int(a[4], 16) ^ int(b[4], 16)).bit_count() <= 6
+    want = {(a[0], b[0]) for a in items for b in items if a[0] < b[0] and a[1] != b[1] and near(a, b)}
+    assert len(links) == len(want) and {(r.id_a, r.id_b) for r in links} == want
+
+    rng = np.random.default_rng(2)
+    v = [round(float(x), 4) for x in rng.standard_normal(64) / 8]
+    rows = [(i, v if i < 60 else [round(float(x), 4) for x in rng.standard_normal(64) / 8]) for i in range(150)]
+    near = neighbours.neighbours(spark.createDataFrame(rows, "id bigint, embedding array<double>")).collect()
+    assert {(r.id, r.neighbour_id) for r in near} == {(i, j) for i in range(60) for j in sorted(set(range(60)) - {i})[:5]}
+    assert {tuple(r) for r in clusters.clusters(spark.createDataFrame(rows, "id bigint, embedding array<double>")).collect()} == {(i, 0) for i in range(60)}
