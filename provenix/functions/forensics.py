@@ -54,28 +54,28 @@ def _trust_band(trust: Column) -> Column:
     return F.when(trust < 30, 20).when(trust < 60, 10).when(trust < 90, 5).otherwise(0)
 
 
-def _extra(forest: Column, casia: Column, stego: Column) -> Column:
-    forest, casia, stego = (F.coalesce(c, F.lit(0)) for c in (forest, casia, stego))
+def _extra(forest: Column, tamper: Column, stego: Column) -> Column:
+    forest, tamper, stego = (F.coalesce(c, F.lit(0)) for c in (forest, tamper, stego))
     a = F.when(forest >= 75, 30).when(forest >= 50, 20).when(forest >= 30, 10).otherwise(0)
-    b = F.when((casia >= 90) & (forest >= 30), 15).when((casia >= 75) & (forest >= 30), 10).when((casia >= 50) & (forest >= 50), 5).otherwise(0)
+    b = F.when((tamper >= 90) & (forest >= 30), 15).when((tamper >= 75) & (forest >= 30), 10).when((tamper >= 50) & (forest >= 50), 5).otherwise(0)
     return a + b + F.when(stego >= 50, 15).when(stego >= 30, 10).otherwise(0)
 
 
-def integrity(flags: dict[str, Column], trust: Column, origin: Column, forest: Column, casia: Column, stego: Column) -> Column:
+def integrity(flags: dict[str, Column], trust: Column, origin: Column, forest: Column, tamper: Column, stego: Column) -> Column:
     """100 less the deductions, within 10 and 100, not above the origin's; then less what the detectors take off."""
     f = flags
     base = 100 - _sum([(f["cropped"], 15), (f["resized"], 10), (f["watermarked"], 15), (f["compressed"], 20), (f["screenshot"], 25)]) - _trust_band(trust)
     base = F.greatest(F.lit(10), F.least(F.lit(100), base))
     base = F.least(base, F.coalesce(origin, F.lit(100)))
-    return F.greatest(F.lit(10), F.least(F.lit(100), base - _extra(forest, casia, stego)))
+    return F.greatest(F.lit(10), F.least(F.lit(100), base - _extra(forest, tamper, stego)))
 
 
-def risk(flags: dict[str, Column], trust: Column, stripped: Column, forest: Column, casia: Column, stego: Column) -> Column:
+def risk(flags: dict[str, Column], trust: Column, stripped: Column, forest: Column, tamper: Column, stego: Column) -> Column:
     """Sum of the additions within 0 and 95, before and after those of the detectors."""
     f = flags
     base = _sum([(f["cropped"], 15), (f["resized"], 10), (f["watermarked"], 20), (f["compressed"], 25), (f["screenshot"], 15), (stripped, 10)]) + _trust_band(trust)
     base = F.greatest(F.lit(0), F.least(F.lit(95), base))
-    return F.greatest(F.lit(0), F.least(F.lit(95), base + _extra(forest, casia, stego)))
+    return F.greatest(F.lit(0), F.least(F.lit(95), base + _extra(forest, tamper, stego)))
 
 
 def consensus(ai: Column, forest: Column, trust: Column, screenshot: Column, stego: Column, stripped: Column) -> Column:
