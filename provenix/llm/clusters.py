@@ -27,8 +27,8 @@ COSINE = 0.90
 TYPICAL = 3
 
 
-def _least_pair(x: np.ndarray, step: int = 1024) -> float:
-    return min(float((x[i:i + step] @ x.T).min()) for i in range(0, len(x), step))
+def _compact(x: np.ndarray, cosine: float, step: int = 1024) -> bool:
+    return all((x[i:i + step] @ x.T).min() >= cosine for i in range(0, len(x), step))
 
 
 def bisect(x: np.ndarray, cosine: float = COSINE, rounds: int = 2) -> np.ndarray:
@@ -50,7 +50,7 @@ def bisect(x: np.ndarray, cosine: float = COSINE, rounds: int = 2) -> np.ndarray
         low = np.minimum.reduceat(cos, first)
         split = (size > 1) & (low < sure)
         for k in np.flatnonzero(split & (low >= cosine)):
-            split[k] = _least_pair(y[first[k]:first[k] + size[k]]) < cosine
+            split[k] = not _compact(y[first[k]:first[k] + size[k]], cosine)
         keep = split[which]
         if not keep.any():
             break
@@ -143,7 +143,7 @@ def cluster_classes(items: DataFrame, cosine: float = COSINE, margin: float = ve
     total = source.count()
     leaves = vectors.leaf_count(total)
     sample = vectors.packed_sample(source, max(vectors.LEAST_SAMPLE, vectors.SAMPLE_PER_LEAF * leaves), total=total)
-    centres = vectors.fit_centres(sample, leaves)
+    router = vectors.fit_router(sample, total, margin)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,8 +153,8 @@ def cluster_classes(items: DataFrame, cosine: float = COSINE, margin: float = ve
             blobs = vectors.pack(x)
             cls = vectors.class_of(blobs)
             first, kept, _ = vectors.keep_ids(cls, np.asarray(b.column(0))[pos], 2)
-            row, leaf = vectors.leaves_of(vectors.unit(x[first]), centres, margin)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype("i4")), pa.array([cls[first[r]] for r in row], pa.binary()), pa.array([blobs[first[r]] for r in row], pa.binary()),
+            row, leaf, _ = vectors.route(vectors.unit(x[first]), [cls[i] for i in first], router, margin)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array([cls[first[r]] for r in row], pa.binary()), pa.array([blobs[first[r]] for r in row], pa.binary()),
                                               pa.array([kept[r] for r in row], pa.list_(pa.int64()))], ["leaf", "cls", "vec", "ids"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,7 @@ def cluster_classes(items: DataFrame, cosine: float = COSINE, margin: float = ve
             yield _leaf(t["cls"].to_pylist(), t["vec"].to_pylist(), t["ids"].to_pylist(), cosine)
 
     rows = source.where(F.col("id").isNotNull() & (F.size("embedding") == vectors.DIM)).select("id", F.col("embedding").cast("array<double>"))
-    routed = rows.mapInArrow(route, "leaf int, cls binary, vec binary, ids array<bigint>")
+    routed = rows.mapInArrow(route, "leaf bigint, cls binary, vec binary, ids array<bigint>")
     local = spread(routed, "leaf").sortWithinPartitions("leaf").mapInArrow(work, "cls binary, root bigint")
     roots = cut(local.groupBy("cls").agg(F.min("root").alias("root"), F.collect_set("root").alias("all")))
     clash = roots.where(F.size("all") > 1).select("root", F.explode("all").alias("other")).where("other <> root")

@@ -23,11 +23,13 @@ from provenix.operators.skew import salted_lookup, spread
 K, COSINE = 5, 0.90
 #: Queries and rows of one scanned block.
 QUERIES, ROWS = 128, 1024
+#: Candidates whose exact similarities are held at a time.
+_COLS = 4096
 
-_ROUTED = "leaf int, cls binary, vec binary, code binary, slack float, ids array<bigint>"
+_ROUTED = "leaf bigint, part bigint, cls binary, vec binary, code binary, slack float, ids array<bigint>"
 
 
-def _route(centres: np.ndarray, book: np.ndarray, k: int, cosine: float, margin: float):
+def _route(router: vectors.Router, book: np.ndarray, k: int, cosine: float, margin: float):
     sine = float(np.sqrt(1 - cosine * cosine))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,38 +46,48 @@ def _route(centres: np.ndarray, book: np.ndarray, k: int, cosine: float, margin:
             par, across = quantise.residuals(u, codes, book)
             slack = (par + sine * across + 1e-4).astype("f4")
             byte = quantise.fused(codes)
-            row, leaf = vectors.leaves_of(u, centres, margin)
+            row, leaf, part = vectors.route(u, [cls[i] for i in first], router, margin)
             yield pa.RecordBatch.from_arrays([
-                pa.array(leaf.astype("i4")), pa.array([cls[first[r]] for r in row], pa.binary()), pa.array([blobs[first[r]] for r in row], pa.binary()),
+                pa.array(leaf), pa.array(part), pa.array([cls[first[r]] for r in row], pa.binary()), pa.array([blobs[first[r]] for r in row], pa.binary()),
                 pa.array([byte[r].tobytes() for r in row], pa.binary()), pa.array(slack[row]), pa.array([kept[r] for r in row], pa.list_(pa.int64()))],
-                ["leaf", "cls", "vec", "code", "slack", "ids"])
+                ["leaf", "part", "cls", "vec", "code", "slack", "ids"])
 
     return run
 
 
 def _search(book: np.ndarray, k: int, cosine: float):
-    def best(cos: np.ndarray, ids: list[list[int]], alone: np.ndarray, rows: np.ndarray, cols: np.ndarray):
-        """Per row of ``cos`` (queries x candidate classes) the k + 1 best ids."""
-        cos = np.round(cos, 9)
-        cos[rows[:, None] == cols[None, :]] = np.where(alone[rows], -2.0, 1.0)
+    def best(x: np.ndarray, ids: list[list[int]], alone: np.ndarray, rows: np.ndarray, cols: np.ndarray):
+        """Per row the k + 1 best ids of the candidate classes ``cols``."""
         most = k + 1
-        ok = cos >= cosine
-        if cos.shape[1] > 4 * most:
-            cut_at = np.partition(cos, -most, axis=1)[:, -most]
-            ok &= cos >= cut_at[:, None]
-        a, b = np.nonzero(ok)
-        value = cos[a, b]
-        low = np.array([ids[c][0] for c in cols], "i8") if len(cols) else np.empty(0, "i8")
-        order = np.lexsort((low[b], -value, a))
-        a, b, value = a[order], b[order], value[order]
+        low = np.array([i[0] for i in ids], "i8")
+        least = np.full(len(rows), cosine)
+        a, b, value = np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0)
+        for i in range(0, len(cols), _COLS):
+            some = cols[i:i + _COLS]
+            cos = x[rows] @ x[some].T
+            own = np.nonzero(rows[:, None] == some[None, :])
+            cos[own] = np.where(alone[rows[own[0]]], -2.0, 1.0)
+            ok = cos >= least[:, None] - 1e-9
+            if ok.sum() > 4 * most * len(rows) and len(some) > 4 * most:
+                ok &= cos >= np.partition(cos, -most, axis=1)[:, -most, None] - 1e-9
+            r, c = np.nonzero(ok)
+            v = np.round(cos[r, c], 9)
+            keep = v >= least[r]
+            a, b, value = np.r_[a, r[keep]], np.r_[b, some[c[keep]]], np.r_[value, v[keep]]
+            order = np.lexsort((low[b], -value, a))
+            a, b, value = a[order], b[order], value[order]
+            rank = np.arange(len(a)) - np.searchsorted(a, a)
+            a, b, value = a[rank < most], b[rank < most], value[rank < most]
+            full = np.flatnonzero(rank[rank < most] == most - 1)
+            least[a[full]] = value[full]
         start = np.searchsorted(a, np.arange(len(rows) + 1))
         for i in range(len(rows)):
-            s, e = start[i], min(start[i + 1], start[i] + most)
+            s, e = start[i], start[i + 1]
             if s < e:
-                got = sorted((-value[j], x) for j in range(s, e) for x in ids[cols[b[j]]])[:most]
+                got = sorted((-value[j], x) for j in range(s, e) for x in ids[b[j]])[:most]
                 yield rows[i], [x for _, x in got], [-v for v, _ in got]
 
-    def leaf(cls: list[bytes], vec: list[bytes], code: list[bytes], slack: np.ndarray, ids: list[list[int]]) -> pa.RecordBatch:
+    def leaf(part: np.ndarray, cls: list[bytes], vec: list[bytes], code: list[bytes], slack: np.ndarray, ids: list[list[int]]) -> pa.RecordBatch:
         at: dict[bytes, int] = {}
         keep = []
         for i, c in enumerate(cls):  # a class met in several batches
@@ -94,20 +106,28 @@ def _search(book: np.ndarray, k: int, cosine: float):
         least = np.float32(cosine) - slack[keep]
         alone = np.array([len(i) < 2 for i in ids])
         out_cls, out_ids, out_cos = [], [], []
-        for q in range(0, len(x), QUERIES):
-            rows = np.arange(q, min(q + QUERIES, len(x)))
-            table = quantise.tables(x[rows], book)
-            hit = np.concatenate([(quantise.scan(table, codes[i:i + ROWS]) >= least[i:i + ROWS, None]).any(1) for i in range(0, len(x), ROWS)])
-            cols = np.flatnonzero(hit)
-            for row, i, c in best(x[rows] @ x[cols].T, ids, alone, rows, cols):
-                out_cls.append(cls[keep[row]])
-                out_ids.append(i)
-                out_cos.append(c)
+        side = part[keep] != part.min()
+        one, two = np.flatnonzero(~side), np.flatnonzero(side)
+        for asked, stock in ((one, two), (two, one)) if len(two) else ((one, one),):  # of two parts, only pairs across
+            stored, bound = codes[stock], least[stock]
+            dense = False
+            for q in range(0, len(asked), QUERIES):
+                rows = asked[q:q + QUERIES]
+                cols = stock
+                if not dense:  # where most rows are candidates the scan is no use
+                    table = quantise.tables(x[rows], book)
+                    hit = np.concatenate([(quantise.scan(table, stored[i:i + ROWS]) >= bound[i:i + ROWS, None]).any(1) for i in range(0, len(stock), ROWS)])
+                    cols = stock[hit]
+                    dense = len(stock) > 8 * ROWS and len(cols) > len(stock) / 2
+                for row, i, c in best(x, ids, alone, rows, cols):
+                    out_cls.append(cls[keep[row]])
+                    out_ids.append(i)
+                    out_cos.append(c)
         return pa.RecordBatch.from_arrays([pa.array(out_cls, pa.binary()), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_cos, pa.list_(pa.float64()))], ["cls", "ids", "cos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in vectors.by_leaf(batches):
-            yield leaf(t["cls"].to_pylist(), t["vec"].to_pylist(), t["code"].to_pylist(), t["slack"].to_numpy(), t["ids"].to_pylist())
+            yield leaf(t["part"].to_numpy(), t["cls"].to_pylist(), t["vec"].to_pylist(), t["code"].to_pylist(), t["slack"].to_numpy(), t["ids"].to_pylist())
 
     return run
 
@@ -122,10 +142,10 @@ def neighbours(items: DataFrame, k: int = K, cosine: float = COSINE, margin: flo
     n = source.count()
     leaves = vectors.leaf_count(n)
     sample = vectors.packed_sample(source, max(vectors.LEAST_SAMPLE, vectors.SAMPLE_PER_LEAF * leaves), total=n)
-    centres = vectors.fit_centres(sample, leaves)
+    router = vectors.fit_router(sample, n, margin)
     book = quantise.fit(sample[:: max(1, len(sample) // vectors.LEAST_SAMPLE)])
     rows = source.where(F.col("id").isNotNull() & (F.size("embedding") == vectors.DIM)).select("id", F.col("embedding").cast("array<double>"))
-    routed = rows.mapInArrow(_route(centres, book, k, cosine, margin), _ROUTED)
+    routed = rows.mapInArrow(_route(router, book, k, cosine, margin), _ROUTED)
     near = spread(routed, "leaf").sortWithinPartitions("leaf").mapInArrow(_search(book, k, cosine), "cls binary, ids array<bigint>, cos array<double>")
     best = near.select("cls", F.arrays_zip(F.transform("cos", lambda c: -c).alias("c"), F.col("ids").alias("i")).alias("z"))
     best = best.groupBy("cls").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("z")))), 1, k + 1).alias("z"))

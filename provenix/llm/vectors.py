@@ -3,6 +3,10 @@
 A router is a set of centres fitted by bisecting on a bounded sample: the node of largest dispersion is split in two
 until there is one leaf per LEAF_ROWS rows. Every row of the table is then sent to its nearest centre and to every other
 centre that is less than MARGIN worse, so that two vectors of cosine 0.9 or more almost surely share a leaf.
+
+Where a large share of all rows lies in one tight bundle, a row is near very many leaves. Such leaves are put together to
+one group, which gets a row once however many of its leaves are near; a group too large for one task is cut into parts,
+and each pair of parts goes to its own task. Rows that share a leaf thus always meet, whatever the groups are.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +30,13 @@ LEAF_ROWS, MAX_LEAVES = 1000, 4000
 SAMPLE_PER_LEAF, LEAST_SAMPLE = 10, 8000
 #: How much less similar than the nearest centre another centre may be and still get a copy.
 MARGIN = 0.06
-#: Most leaves a row is copied to. Only where a large share of all rows lies in one tight bundle do more centres come that
-#: near; there every leaf holds far more neighbours than are asked for, and any few leaves in common tie the bundle together.
-MOST_COPIES = 8
+#: Rows of one group that a task compares with as many others; larger groups are cut into such parts.
+PART_ROWS = 60_000
+#: Rows of the sample that tell which leaves overlap.
+OVERLAP_ROWS = 8000
+#: Seconds to move one copy of a row, and to compare one pair: only the groups depend on them, never who meets.
+_COPY_S, _PAIR_S = 2e-5, 1e-8
+
 
 
 def usable_rows(column: pa.Array, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
@@ -151,19 +160,82 @@ def nearest(x: np.ndarray, c: np.ndarray, step: int = 4096) -> np.ndarray:
     return np.concatenate([(x[i:i + step] @ c.T).argmax(1) for i in range(0, len(x), step)])
 
 
-def leaves_of(x: np.ndarray, c: np.ndarray, margin: float, step: int = 1024, most: int = MOST_COPIES) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) for the nearest centre of each row and those that are less than ``margin`` worse, the ``most`` nearest."""
-    rows, leaf = [], []
+class Router(NamedTuple):
+    """Centres of the leaves in order of their group, the first leaf of each group, its parts and its first key."""
+
+    centres: np.ndarray
+    starts: np.ndarray
+    parts: np.ndarray
+    keys: np.ndarray
+
+
+def near_leaves(x: np.ndarray, c: np.ndarray, margin: float) -> np.ndarray:
+    """Whether (row, leaf) is the nearest centre of the row or less than ``margin`` worse."""
+    s = x.astype("f4") @ c.T
+    return s >= s.max(1, keepdims=True) - np.float32(margin)
+
+
+def _seconds(rows: float) -> float:
+    return rows * rows * _PAIR_S + rows * np.ceil(rows / PART_ROWS) * _COPY_S
+
+
+def group_leaves(near: np.ndarray, scale: float) -> np.ndarray:
+    """Group of each leaf: leaves that share many rows of the sample are put together where that is cheaper than apart."""
+    both = near.T.astype("f4") @ near.astype("f4")
+    size = np.diag(both)
+    share = both / np.maximum(size[:, None] + size[None] - both, 1)
+    group = np.arange(near.shape[1])
+    free = np.ones(len(group), bool)
+    for least in (0.1, 0.2, 0.35, 0.5, 0.7, 0.9):
+        tied = (share >= least) & free[:, None] & free[None]
+        seen = ~free
+        for k in range(len(group)):
+            if seen[k]:
+                continue
+            reach = np.zeros(len(group), bool)
+            reach[k] = True
+            edge = reach
+            while edge.any():
+                edge = tied[edge].any(0) & ~reach
+                reach |= edge
+            seen |= reach
+            leaves = np.flatnonzero(reach)
+            apart = sum(_seconds(n * scale) for n in size[leaves])
+            if len(leaves) > 1 and _seconds(near[:, leaves].any(1).sum() * scale) < apart:
+                group[leaves] = k
+                free[leaves] = False
+    return np.unique(group, return_inverse=True)[1]
+
+
+def fit_router(sample: np.ndarray, total: int, margin: float) -> Router:
+    """Leaves fitted to the sample of ``total`` rows, their groups, and in how many parts each group is dealt out."""
+    c = fit_centres(sample, leaf_count(total))
+    some = sample[:: max(1, -(-len(sample) // OVERLAP_ROWS))]
+    if not len(some):
+        return Router(c, np.zeros(1, "i8"), np.ones(1, "i8"), np.zeros(1, "i8"))
+    near = np.concatenate([near_leaves(some[i:i + 1024], c, margin) for i in range(0, len(some), 1024)])
+    scale = total / len(some)
+    group = group_leaves(near, scale)
+    order = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+    rows = np.logical_or.reduceat(near[:, order], starts, axis=1).sum(0) * scale
+    parts = np.maximum(1, np.ceil(rows / PART_ROWS)).astype("i8")
+    return Router(c[order], starts, parts, np.r_[0, np.cumsum(parts * parts)[:-1]])
+
+
+def route(x: np.ndarray, cls: list[bytes], router: Router, margin: float, step: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, part) of every task a row goes to: one for each near group, or one for each pair of parts with its own."""
+    rows, groups = [], []
     for i in range(0, len(x), step):
-        s = x[i:i + step].astype("f4") @ c.T
-        near = s >= s.max(1, keepdims=True) - np.float32(margin)
-        for r in np.flatnonzero(near.sum(1) > most):
-            near[r] = False
-            near[r, np.argsort(-s[r], kind="stable")[:most]] = True
-        a, b = np.nonzero(near)
+        a, b = np.nonzero(np.logical_or.reduceat(near_leaves(x[i:i + step], router.centres, margin), router.starts, axis=1))
         rows.append(a + i)
-        leaf.append(b)
-    return np.concatenate(rows), np.concatenate(leaf)
+        groups.append(b)
+    row, group = np.concatenate(rows), np.concatenate(groups)
+    n = router.parts[group]
+    part = (np.frombuffer(b"".join(c[:8] for c in cls), "<u8")[row] % n.astype("u8")).astype("i8")
+    other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    row, group, part, n = (np.repeat(v, n) for v in (row, group, part, n))
+    return row, router.keys[group] + np.minimum(part, other) * n + np.maximum(part, other), part
 
 
 def leaf_count(rows: int) -> int:

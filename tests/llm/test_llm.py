@@ -168,6 +168,27 @@ def test_recall_with_many_leaves(spark, monkeypatch):
     assert len(found & {(i, i // 3 * 3) for i in range(3000)}) >= 2970
 
 
+@pytest.mark.parametrize("part", [None, 700])
+def test_tight_bundle_with_a_third_of_the_rows(spark, monkeypatch, part):
+    """All rows of the bundle are near all its leaves; every row must still meet its neighbours, also over parts."""
+    monkeypatch.setattr(vectors, "LEAF_ROWS", 10)
+    if part:
+        monkeypatch.setattr(vectors, "PART_ROWS", part)
+    rng = np.random.default_rng(9)
+    centres = vectors.unit(rng.standard_normal((41, 64)))
+    x = centres[np.repeat(np.arange(41), [2000] + [100] * 40)] + 0.03 * rng.standard_normal((6000, 64))
+    x = np.round(vectors.unit(x), 4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, embedding array<double>")
+    u = vectors.unit(x)
+    cos = np.round(u @ u.T, 9)
+    np.fill_diagonal(cos, -2)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -cos[i]))[:5] if cos[i, j] >= 0.9}
+    got = [(r.id, r.neighbour_id) for r in neighbours.neighbours(df).collect()]
+    assert len(want) > 28000 and len(got) == len(set(got)) and set(got) == want
+    pairs = list(zip(*(k.tolist() for k in np.nonzero(np.triu(cos >= 0.9)))))
+    assert {tuple(r) for r in clusters.clusters(df).collect()} == _brute_groups(pairs)
+
+
 def test_bisect_gives_compact_nodes():
     rng = np.random.default_rng(1)
     x = vectors.unit(np.array(_vectors(rng, [5] * 40 + [1] * 30)))
