@@ -46,17 +46,23 @@ def matching_blocks(rows: int, radius: int) -> int:
     return min((1, 2, 3), key=cost)
 
 
+def _key_bits(cut: list[tuple[int, int]], r: int) -> int:
+    """Bits of the widest ``r`` blocks: where the number of the combination stands in every key, as widths differ."""
+    return sum(sorted(bits for _, bits in cut)[-r:])
+
+
 def keys(column: str, radius: int, r: int) -> Column:
-    """array<bigint> of the bucket keys of a code."""
+    """array<bigint> of the bucket keys of a code: the number of the combination, then the values of its blocks."""
     cut = blocks(radius, r)
+    width = _key_bits(cut, r)
     out = []
     for k, combo in enumerate(combinations(range(len(cut)), r)):
-        value = F.lit(k).cast("bigint")
+        value = F.lit(0).cast("bigint")
         for b in combo:
             first, bits = cut[b]
             part = F.shiftrightunsigned(F.col(column), first).bitwiseAND(F.lit((1 << bits) - 1))
             value = F.shiftleft(value, bits).bitwiseOR(part)
-        out.append(value)
+        out.append(value.bitwiseOR(F.lit(k << width).cast("bigint")))
     return F.array(*out)
 
 
@@ -68,11 +74,12 @@ def with_keys(classes: DataFrame, radius: int, r: int) -> DataFrame:
 def _compare(radius: int, r: int, radius_d: int, chunks: dict[int, int]):
     cut = blocks(radius, r)
     combos = list(combinations(range(len(cut)), r))
+    width = _key_bits(cut, r)
     masks = [np.uint64(((1 << bits) - 1) << first) for first, bits in cut]
 
     def first_meeting(x: np.ndarray, bucket: int) -> np.ndarray:
         """Whether the lowest ``r`` agreeing blocks of the pairs with these xors are the bucket's."""
-        own = combos[_combo_of(bucket, cut, combos)]
+        own = combos[bucket >> width]
         ok = np.ones(len(x), bool)
         for b in range(own[-1]):
             if b not in own:
@@ -127,14 +134,6 @@ def _compare(radius: int, r: int, radius_d: int, chunks: dict[int, int]):
     return run
 
 
-def _combo_of(bucket: int, cut: list[tuple[int, int]], combos: list[tuple[int, ...]]) -> int:
-    """The combination whose number leads the bucket key. Widths differ by a bit, so the candidates are tried."""
-    for k, combo in enumerate(combos):
-        if bucket >> sum(cut[b][1] for b in combo) == k:
-            return k
-    raise ValueError(bucket)
-
-
 def close_pairs(keyed: DataFrame, radius: int, r: int, radius_d: int = 64) -> DataFrame:
     """Pairs of different (p, d) with p within ``radius`` and d within ``radius_d`` bits.
 

@@ -39,6 +39,11 @@ def test_close_pairs_finds_every_pair_once(spark, r):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_close_pairs_with_blocks_of_unequal_width(spark):
+    """Three of nine blocks, as for very many codes: the last block is wider than the others."""
+    test_close_pairs_finds_every_pair_once(spark, 3)
+
+
 def test_close_pairs_cuts_hot_buckets(spark, monkeypatch):
     monkeypatch.setattr(hamming, "CHUNK", 50)
     rng = random.Random(6)
