@@ -32,8 +32,10 @@ EXPANSIONS, PIECE = 8, 400
 ODD = 4.5
 
 # Encodings in which text is stored, and those it is mistaken for.
-READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8-r", "iso8859-2", "iso8859-7", "cp1254", "cp1253")
+READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8-r", "iso8859-2", "iso8859-7", "cp1254", "cp1253", "gb18030", "cp932", "euc_kr", "euc_jp", "big5")
 STORED_AS = ("utf-8", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8-r", "iso8859-2", "iso8859-5", "gb18030", "cp932", "euc_jp", "big5", "euc_kr")
+#: Of those it is mistaken for, the ones with several bytes to a character.
+WIDE = ("gb18030", "cp932", "euc_kr", "euc_jp", "big5")
 # End of fixed values.
 
 _ENTITY = re.compile(r"&(#\d{2,6}|#[xX][0-9a-fA-F]{2,5}|[A-Za-z]{2,8}\d?);")
@@ -42,6 +44,9 @@ _LOST = re.compile("�|ï¿½")
 _C1 = re.compile("[\x80-\x9f]")
 _LOWERED = re.compile("([à-ô])([\u0080-¿ÿŒœŠšŸŽžƒˆ˜–-›€™])")
 _PARTS = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef]+|[^\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef]+")
+_WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef]")
+_NOT_ASCII = re.compile("[^\x00-\x7f\ufffd]+")
+_SENTENCES = re.compile("[^。！？]*[。！？]|[^。！？]+")
 _SPACES = re.compile("[ \t\r\n\f\v]+")
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -77,6 +82,39 @@ def count_trigrams(texts: DataFrame) -> tuple[np.ndarray, int]:
     return table, int(n[bucket < 0].sum())
 
 
+def reads_as_utf8(passage: str, encodings: tuple[str, ...]) -> bool:
+    """Whether the bytes of the passage in one of the encodings are UTF-8 with characters beyond ASCII."""
+    for e in encodings:
+        try:
+            if passage.encode(e).decode("utf-8") != passage:
+                return True
+        except UnicodeError:
+            pass
+    return False
+
+
+def suspect(passage: str) -> bool:
+    """Whether the passage is searched however common it is."""
+    return bool(_WIDE.search(passage)) and reads_as_utf8(passage, WIDE)
+
+
+def passages(word: str) -> list[str]:
+    """The parts of a text without blanks that are searched one by one.
+
+    Scripts without spaces run into their neighbours, so they are parted from these; what was read as such a script
+    stays whole with the signs that came of it.
+    """
+    out, at = [], 0
+    for run in _NOT_ASCII.finditer(word) if _WIDE.search(word) else ():
+        start = run.start()
+        for part in [run[0]] if reads_as_utf8(run[0], WIDE) else _SENTENCES.findall(run[0]):
+            if suspect(part):
+                out += [*_PARTS.findall(word[at:start]), part]
+                at = start + len(part)
+            start += len(part)
+    return [*out, *_PARTS.findall(word[at:])]
+
+
 class Restorer:
     """Searches passages of text against a table of trigram counts."""
 
@@ -127,7 +165,7 @@ class Restorer:
                 continue
             met.add(raw)
             for d in STORED_AS:
-                if d == e:
+                if d == e or (e in WIDE and d != "utf-8"):  # any two of these read as each other, so it would tell nothing
                     continue
                 try:
                     out = raw.decode(d)
@@ -183,13 +221,13 @@ class Restorer:
             word = parts[k]
             if not word or not (_ODD_CHAR.search(word) or _ENTITY.search(word)):
                 continue
-            if not self.odd(word):
+            runs = passages(word)
+            if not self.odd(word) and not any(map(suspect, runs)):
                 continue
-            # Scripts without spaces run into their neighbours; no encoding that is searched for reads as them.
-            pieces = [run[i:i + PIECE] for run in _PARTS.findall(word) for i in range(0, len(run), PIECE)]
+            pieces = [run[i:i + PIECE] for run in runs for i in range(0, len(run), PIECE)]
             done = []
             for piece in pieces:
-                out, gain, way = self.search(piece) if len(pieces) == 1 or self.odd(piece) else (piece, 0.0, ())
+                out, gain, way = self.search(piece) if len(pieces) == 1 or self.odd(piece) or suspect(piece) else (piece, 0.0, ())
                 if gain >= GAIN:
                     restored += 1
                     used[" ".join(way)] = None

@@ -353,6 +353,32 @@ def test_garbled_text(spark):
     assert garble.repairs(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+CLEAN_WIDE = ["文件于五月从当地网页收到，并归入案卷。", "图像经过裁剪和再次压缩，差异为十四位。", "画像は切り抜き後に再圧縮され、差は五ビットである。", "사진은 잘린 뒤 다시 압축되었고 차이는 다섯 비트이다."]
+
+
+def _garbled_wide(stored="utf-8"):
+    """(wrong, right) for every encoding with several bytes to a character that reads the text without loss."""
+    for text in CLEAN_WIDE:
+        for word in {text, *text.replace("，", " ").replace("、", " ").replace("。", "").split()}:
+            for e in ("gb18030", "cp932", "euc_kr", "euc_jp", "big5"):
+                try:
+                    yield word.encode(stored).decode(e), word
+                except UnicodeDecodeError:
+                    pass
+
+
+def test_garbled_text_read_as_wide_characters(spark):
+    rows = [(k, f"{t} {k}") for k, t in enumerate([*CLEAN_WIDE, *(t for _, t in CLEAN)] * 30)]
+    cases = list(_garbled_wide())
+    assert len(cases) >= 5
+    truth = {1000 + k: f"No 5 {right} end" for k, (_, right) in enumerate(cases)}
+    rows += [(1000 + k, f"No 5 {wrong} end") for k, (wrong, _) in enumerate(cases)]
+    rows.append((2000, f"{CLEAN_WIDE[2]}{'投稿は'.encode().decode('cp932')}"))
+    truth[2000] = CLEAN_WIDE[2] + "投稿は"
+    got = {r.doc_id: r.restored_text for r in garble.repairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == truth
+
+
 def test_queries_equal_their_sql(compare):
     from provenix.llm.queries import REG
 
