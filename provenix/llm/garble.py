@@ -26,7 +26,7 @@ BUCKETS = 1 << 20
 GAIN, STEP = 4.0, 0.5
 #: The same in a text in which the same operations have restored another passage.
 GAIN_AGAIN = 1.5
-#: Texts from which the search of one passage goes on, and the longest passage searched as one.
+#: Texts from which the search of one passage goes on, and the length above which a passage without one answer is cut.
 EXPANSIONS, PIECE = 8, 400
 #: Mean surprise of a passage's trigrams from which it is searched.
 ODD = 4.5
@@ -208,7 +208,7 @@ class Restorer:
                     best = (out, start - reached, way)
                 if prepares or utf8:  # what only prepares must not look worse than it leads to
                     heapq.heappush(heap, (min(reached, cost) if prepares else reached, serial, out, way))
-        if len(self.seen) < 200_000:
+        if len(self.seen) < (200_000 if len(passage) <= PIECE else 20_000):
             self.seen[passage] = best
         return best
 
@@ -224,10 +224,14 @@ class Restorer:
             runs = passages(word)
             if not self.odd(word) and not any(map(suspect, runs)):
                 continue
-            pieces = [run[i:i + PIECE] for run in runs for i in range(0, len(run), PIECE)]
+            pieces = []
+            for run in runs:
+                # A cut may part the bytes of a character, so a long run is cut only where it holds no one answer.
+                whole = len(run) <= PIECE or self.search(run)[1] >= GAIN
+                pieces += [run] if whole else [run[i:i + PIECE] for i in range(0, len(run), PIECE)]
             done = []
             for piece in pieces:
-                out, gain, way = self.search(piece) if len(pieces) == 1 or self.odd(piece) or suspect(piece) else (piece, 0.0, ())
+                out, gain, way = self.search(piece) if len(pieces) == 1 or len(piece) > PIECE or self.odd(piece) or suspect(piece) else (piece, 0.0, ())
                 if gain >= GAIN:
                     restored += 1
                     used[" ".join(way)] = None
@@ -238,7 +242,7 @@ class Restorer:
         if used:  # what was done to one passage was likely done to its neighbours, so less speaks for it
             for k in words:
                 word = parts[k]
-                if _ODD_CHAR.search(word) and len(word) <= PIECE:
+                if _ODD_CHAR.search(word):
                     out, gain, way = self.search(word)
                     if gain >= GAIN_AGAIN and " ".join(way) in used:
                         restored += 1

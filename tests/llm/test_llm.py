@@ -379,6 +379,18 @@ def test_garbled_text_read_as_wide_characters(spark):
     assert got == truth
 
 
+def test_long_garbled_run_without_blanks(spark):
+    """A cut at a fixed length would part the bytes of a character."""
+    rows = [(k, f"{t} {k}") for k, t in enumerate(CLEAN_WIDE * 30)]
+    long = "".join(random.Random(k).choice(CLEAN_WIDE[:2]) for k in range(60))
+    truth = {}
+    for e in ("mac_roman", "cp437", "cp866", "koi8-r"):
+        truth[1000 + len(truth)] = long
+        rows.append((999 + len(truth), long.encode().decode(e)))
+    got = {r.doc_id: r.restored_text for r in garble.repairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == truth
+
+
 def test_queries_equal_their_sql(compare):
     from provenix.llm.queries import REG
 
