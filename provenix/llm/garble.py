@@ -1,7 +1,8 @@
 """Text that was decoded with the wrong character encoding: find it, and restore it where possible.
 
 A first pass over all different texts counts in how many of them each character trigram with a character beyond ASCII
-occurs (hashed into BUCKETS counters, so the table has a fixed size). The cost of a text is how surprising its trigrams
+occurs (hashed into BUCKETS counters, so the table has a fixed size); words that read as UTF-8 are left out, so a wrong
+decoding does not become usual by being common. The cost of a text is how surprising its trigrams
 are. For every passage that is surprising, a best-first search goes over encode, decode and unescape operations, always
 from the cheapest text reached so far, never twice from the same one, and keeps the cheapest text. A passage is garbled
 if a text reached over at least one decoding is clearly cheaper, or if it holds traces of a decoding that lost bytes.
@@ -36,6 +37,8 @@ READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850
 STORED_AS = ("utf-8", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8-r", "iso8859-2", "iso8859-5", "gb18030", "cp932", "euc_jp", "big5", "euc_kr")
 #: Of those it is mistaken for, the ones with several bytes to a character.
 WIDE = ("gb18030", "cp932", "euc_kr", "euc_jp", "big5")
+#: And those in which no common word of any language reads as UTF-8, as its second bytes are mostly signs.
+CLEAR = ("cp1252", "latin-1", "cp1254", "cp1250", "cp1251", "iso8859-2", "cp437", "koi8-r", *WIDE)
 # End of fixed values.
 
 _ENTITY = re.compile(r"&(#\d{2,6}|#[xX][0-9a-fA-F]{2,5}|[A-Za-z]{2,8}\d?);")
@@ -45,6 +48,7 @@ _C1 = re.compile("[\x80-\x9f]")
 _LOWERED = re.compile("([à-ô])([\u0080-¿ÿŒœŠšŸŽžƒˆ˜–-›€™])")
 _PARTS = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef]+|[^\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef]+")
 _WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef]")
+_USUAL = re.compile("[\x00-\x7f\xa1-\u017f\u0391-\u03c9\u0401-\u045f\u05d0-\u05ea\u0621-\u064a\u0900-\u097f\u0e01-\u0e4e\u2010-\u2044\u20ac\u2122\u3001-\u30ff\u4e00-\u9fff\uac00-\ud7af\uff01-\uff9f]+")
 _NOT_ASCII = re.compile("[^\x00-\x7f\ufffd]+")
 _SENTENCES = re.compile("[^。！？]*[。！？]|[^。！？]+")
 _SPACES = re.compile("[ \t\r\n\f\v]+")
@@ -70,7 +74,8 @@ def count_trigrams(texts: DataFrame) -> tuple[np.ndarray, int]:
         for b in batches:
             for text in b.column(0).to_pylist():
                 n += 1
-                total[np.unique(_trigrams(f" {_SPACES.sub(' ', text)} "))] += 1
+                kept = " ".join(w for w in _SPACES.split(text) if w.isascii() or not suspect(w))
+                total[np.unique(_trigrams(f" {kept} "))] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[total[at], n])], ["bucket", "n"])
 
@@ -94,8 +99,20 @@ def reads_as_utf8(passage: str, encodings: tuple[str, ...]) -> bool:
 
 
 def suspect(passage: str) -> bool:
-    """Whether the passage is searched however common it is."""
-    return bool(_WIDE.search(passage)) and reads_as_utf8(passage, WIDE)
+    """Whether the passage is searched however common it is, and not counted among right texts."""
+    for e in CLEAR if len(passage) > 1 and _WIDE.search(passage) else CLEAR[:-len(WIDE)]:
+        try:
+            raw = passage.encode(e) if e != "cp1252" else sloppy(passage)
+            if not _USUAL.sub("", raw.decode("utf-8")) and raw.decode("utf-8") != passage:
+                return True
+        except UnicodeError:
+            pass
+    return False
+
+
+def sloppy(text: str) -> bytes:
+    """Bytes of cp1252, in which those it leaves open pass as control characters."""
+    return b"".join(c.encode("latin-1") if "\x80" <= c <= "\x9f" else c.encode("cp1252") for c in text)
 
 
 def passages(word: str) -> list[str]:
@@ -108,7 +125,7 @@ def passages(word: str) -> list[str]:
     for run in _NOT_ASCII.finditer(word) if _WIDE.search(word) else ():
         start = run.start()
         for part in [run[0]] if reads_as_utf8(run[0], WIDE) else _SENTENCES.findall(run[0]):
-            if suspect(part):
+            if _WIDE.search(part) and reads_as_utf8(part, WIDE):
                 out += [*_PARTS.findall(word[at:start]), part]
                 at = start + len(part)
             start += len(part)
@@ -151,14 +168,17 @@ class Restorer:
         if _LOWERED.search(text):
             yield "recase", _LOWERED.sub(lambda m: m[1].upper() + m[2].replace("ÿ", "Ÿ"), text)
         met: set[bytes] = set()
+        wide = _WIDE.search(text)
         for e in READ_AS:
+            if e in WIDE and not wide:
+                continue
             try:
                 raw = text.encode(e)
             except UnicodeEncodeError:
                 if e != "cp1252":
                     continue
                 try:  # bytes that cp1252 leaves open pass as control characters
-                    raw = b"".join(c.encode("latin-1") if "\x80" <= c <= "\x9f" else c.encode("cp1252") for c in text)
+                    raw = sloppy(text)
                 except UnicodeEncodeError:
                     continue
             if raw in met:

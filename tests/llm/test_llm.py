@@ -391,6 +391,19 @@ def test_long_garbled_run_without_blanks(spark):
     assert got == truth
 
 
+def test_common_garble_is_found(spark):
+    """A third of all texts is read wrongly in the same way, so its words are as common as right ones."""
+    rows, truth = [], {}
+    for k in range(200):
+        for _, text in CLEAN[:3]:
+            rows.append((len(rows), f"{text} {k}"))
+            if k % 2:
+                truth[len(rows)] = f"{text} {k}"
+                rows.append((len(rows), f"{_wrong(text, 'utf-8', 'sloppy')} {k}"))
+    got = {r.doc_id: r.restored_text for r in garble.repairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == truth
+
+
 def test_queries_equal_their_sql(compare):
     from provenix.llm.queries import REG
 
