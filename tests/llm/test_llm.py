@@ -379,18 +379,28 @@ def test_garbled_text_read_as_wide_characters(spark):
     assert got == truth
 
 
-def test_long_garbled_run_without_blanks(spark):
-    """A cut at a fixed length would part the bytes of a character."""
+@pytest.mark.parametrize("letters", [150, 500, 5000])
+def test_long_garbled_run_without_blanks(spark, letters):
+    """A cut at a fixed length would part the bytes of a character; a run may also hold right and wrong parts."""
     rows = [(k, f"{t} {k}") for k, t in enumerate(CLEAN_WIDE * 30)]
-    long = "".join(random.Random(k).choice(CLEAN_WIDE[:2]) for k in range(60))
+    long = "".join(random.Random(k).choice(CLEAN_WIDE[:2]) for k in range(letters // 15))[:letters]
     truth = {}
-    for e in ("mac_roman", "cp437", "cp866", "koi8-r"):
+    for e in ("mac_roman", "cp437", "cp866", "koi8-r", "latin-1"):
         truth[1000 + len(truth)] = long
         rows.append((999 + len(truth), long.encode().decode(e)))
+    for e in ("mac_roman", "cp437", "latin-1"):  # a character between that the encoding has not
+        truth[1000 + len(truth)] = f"{long}\u05d0{long}"
+        rows.append((999 + len(truth), f"{long.encode().decode(e)}\u05d0{long.encode().decode(e)}"))
     got = {r.doc_id: r.restored_text for r in garble.repairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == truth
 
 
+def test_signs_that_are_only_named(spark):
+    rows = [(k, f"{t} {k}") for k, (_, t) in enumerate(CLEAN * 30)]
+    rows += [(1000, "Captions with â€™ in them were read wrongly, ours was not."), (1001, "It writes (“Ã©”) where é stood."), (1002, "The name SÃ¸ren was read wrongly."), (1002, "The name SÃ¸ren was read wrongly."), (None, "SÃ¸ren")]
+    assert [r.doc_id for r in garble.repairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()] == [1002]
+
+
 def test_common_garble_is_found(spark):
     """A third of all texts is read wrongly in the same way, so its words are as common as right ones."""
     rows, truth = [], {}
