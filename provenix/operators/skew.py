@@ -59,9 +59,9 @@ def salted_lookup(many: DataFrame, one: DataFrame, key: str, salts: int = 32, ho
     return salt_many(many, key, hot, salts).join(salt_all(one, key, hot, salts), [key, "_salt"], how).drop("_salt")
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """``df`` hashed by the columns over ``spark.sql.shuffle.partitions`` partitions, which are not merged afterwards.
+def spread(df: DataFrame, *columns: str, partitions: int | None = None) -> DataFrame:
+    """``df`` hashed by the columns over ``partitions`` (else ``spark.sql.shuffle.partitions``), which are not merged afterwards.
 
     For stages that compute much per row: merging partitions by their bytes would leave a few long tasks.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    return df.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
