@@ -143,7 +143,7 @@ def cluster_classes(items: DataFrame, cosine: float = COSINE, margin: float = ve
     total = source.count()
     leaves = vectors.leaf_count(total)
     sample = vectors.packed_sample(source, max(vectors.LEAST_SAMPLE, vectors.SAMPLE_PER_LEAF * leaves), total=total)
-    router = vectors.fit_router(sample, total, margin)
+    router = vectors.fit_router(sample, total, margin, last=vectors.depth(total) == 1)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,8 +162,8 @@ def cluster_classes(items: DataFrame, cosine: float = COSINE, margin: float = ve
             yield _leaf(t["cls"].to_pylist(), t["vec"].to_pylist(), t["ids"].to_pylist(), cosine)
 
     rows = source.where(F.col("id").isNotNull() & (F.size("embedding") == vectors.DIM)).select("id", F.col("embedding").cast("array<double>"))
-    routed = rows.mapInArrow(route, "leaf bigint, cls binary, vec binary, ids array<bigint>")
-    local = spread(routed, "leaf").sortWithinPartitions("leaf").mapInArrow(work, "cls binary, root bigint")
+    routed = vectors.deepen(rows.mapInArrow(route, "leaf bigint, cls binary, vec binary, ids array<bigint>"), total, margin)
+    local = spread(routed, "leaf", partitions=vectors.partitions(items.sparkSession, router.copies)).sortWithinPartitions("leaf").mapInArrow(work, "cls binary, root bigint")
     roots = cut(local.groupBy("cls").agg(F.min("root").alias("root"), F.collect_set("root").alias("all")))
     clash = roots.where(F.size("all") > 1).select("root", F.explode("all").alias("other")).where("other <> root")
     joined = components(clash).select(F.col("node").alias("root"), F.col("group_id").alias("_g"))

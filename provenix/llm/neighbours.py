@@ -142,11 +142,11 @@ def neighbours(items: DataFrame, k: int = K, cosine: float = COSINE, margin: flo
     n = source.count()
     leaves = vectors.leaf_count(n)
     sample = vectors.packed_sample(source, max(vectors.LEAST_SAMPLE, vectors.SAMPLE_PER_LEAF * leaves), total=n)
-    router = vectors.fit_router(sample, n, margin)
+    router = vectors.fit_router(sample, n, margin, last=vectors.depth(n) == 1)
     book = quantise.fit(sample[:: max(1, len(sample) // vectors.LEAST_SAMPLE)])
     rows = source.where(F.col("id").isNotNull() & (F.size("embedding") == vectors.DIM)).select("id", F.col("embedding").cast("array<double>"))
-    routed = rows.mapInArrow(_route(router, book, k, cosine, margin), _ROUTED)
-    near = spread(routed, "leaf").sortWithinPartitions("leaf").mapInArrow(_search(book, k, cosine), "cls binary, ids array<bigint>, cos array<double>")
+    routed = vectors.deepen(rows.mapInArrow(_route(router, book, k, cosine, margin), _ROUTED), n, margin)
+    near = spread(routed, "leaf", partitions=vectors.partitions(items.sparkSession, router.copies)).sortWithinPartitions("leaf").mapInArrow(_search(book, k, cosine), "cls binary, ids array<bigint>, cos array<double>")
     best = near.select("cls", F.arrays_zip(F.transform("cos", lambda c: -c).alias("c"), F.col("ids").alias("i")).alias("z"))
     best = best.groupBy("cls").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("z")))), 1, k + 1).alias("z"))
     asked = salted_lookup(vectors.members(items), best, "cls", how="inner")

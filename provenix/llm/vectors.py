@@ -1,8 +1,10 @@
 """Vectors in columns: which are usable, a lossless short form, and routing to neighbourhoods.
 
 A router is a set of centres fitted by bisecting on a bounded sample: the node of largest dispersion is split in two
-until there is one leaf per LEAF_ROWS rows. Every row of the table is then sent to its nearest centre and to every other
-centre that is less than MARGIN worse, so that two vectors of cosine 0.9 or more almost surely share a leaf.
+until there is one leaf per LEAF_ROWS rows, or MAX_LEAVES. Every row of the table is then sent to its nearest centre and to
+every other centre that is less than MARGIN worse, so that two vectors of cosine 0.9 or more almost surely share a leaf.
+Where MAX_LEAVES leaves would be too large, each leaf is bisected again by a router fitted to a sample of its own rows, in
+its own task, and so on: the leaves stay at LEAF_ROWS rows however large the table is (:func:`deepen`).
 
 Where a large share of all rows lies in one tight bundle, a row is near very many leaves. Such leaves are put together to
 one group, which gets a row once however many of its leaves are near; a group too large for one task is cut into parts,
@@ -13,19 +15,25 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provenix.operators.skew import salted_lookup, spread
+from provenix.session import cut
+
 #: Values of a vector.
 DIM = 64
-#: Wanted rows to a leaf, and the most leaves: what bounds the centres sent to every task (4 MB) and the sample.
+#: Wanted rows to a leaf, and the most leaves of one router: what bounds the centres sent to every task (1 MB) and its sample.
 LEAF_ROWS, MAX_LEAVES = 1000, 4000
+#: Routed rows to a partition of the work on leaves.
+TASK_ROWS = 64_000
 #: Rows of the sample per leaf, and the least sample. At most 10 * MAX_LEAVES rows come to the driver.
 SAMPLE_PER_LEAF, LEAST_SAMPLE = 10, 8000
 #: How much less similar than the nearest centre another centre may be and still get a copy.
@@ -38,7 +46,6 @@ OVERLAP_ROWS = 8000
 _COPY_S, _PAIR_S = 2e-5, 1e-8
 
 
-
 def usable_rows(column: pa.Array, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
     """(positions, matrix) of the vectors with ``dim`` finite values that are not all zero."""
     if isinstance(column, pa.ChunkedArray):
@@ -161,12 +168,13 @@ def nearest(x: np.ndarray, c: np.ndarray, step: int = 4096) -> np.ndarray:
 
 
 class Router(NamedTuple):
-    """Centres of the leaves in order of their group, the first leaf of each group, its parts and its first key."""
+    """Centres of the leaves in order of their group, the first leaf of each group, its parts and its first key; about how many rows are sent."""
 
     centres: np.ndarray
     starts: np.ndarray
     parts: np.ndarray
     keys: np.ndarray
+    copies: int
 
 
 def near_leaves(x: np.ndarray, c: np.ndarray, margin: float) -> np.ndarray:
@@ -207,20 +215,31 @@ def group_leaves(near: np.ndarray, scale: float) -> np.ndarray:
     return np.unique(group, return_inverse=True)[1]
 
 
-def fit_router(sample: np.ndarray, total: int, margin: float) -> Router:
-    """Leaves fitted to the sample of ``total`` rows, their groups, and in how many parts each group is dealt out."""
-    c = fit_centres(sample, leaf_count(total))
+def depth(total: int) -> int:
+    """Levels of routers, of at most MAX_LEAVES leaves each, until a leaf holds about LEAF_ROWS of ``total`` rows."""
+    levels, leaves = 1, MAX_LEAVES
+    while leaves * LEAF_ROWS < total:
+        levels, leaves = levels + 1, leaves * MAX_LEAVES
+    return levels
+
+
+def fit_router(sample: np.ndarray, total: int, margin: float, last: bool = True, leaves: int | None = None) -> Router:
+    """Leaves fitted to the sample of ``total`` rows, their groups, and in how many parts each group is dealt out.
+
+    If leaves are routed on (not ``last``), groups stay whole: their rows are spread over tasks as they are.
+    """
+    c = fit_centres(sample, leaves or leaf_count(total))
     some = sample[:: max(1, -(-len(sample) // OVERLAP_ROWS))]
     if not len(some):
-        return Router(c, np.zeros(1, "i8"), np.ones(1, "i8"), np.zeros(1, "i8"))
+        return Router(c, np.zeros(1, "i8"), np.ones(1, "i8"), np.zeros(1, "i8"), total)
     near = np.concatenate([near_leaves(some[i:i + 1024], c, margin) for i in range(0, len(some), 1024)])
     scale = total / len(some)
     group = group_leaves(near, scale)
     order = np.argsort(group, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
     rows = np.logical_or.reduceat(near[:, order], starts, axis=1).sum(0) * scale
-    parts = np.maximum(1, np.ceil(rows / PART_ROWS)).astype("i8")
-    return Router(c[order], starts, parts, np.r_[0, np.cumsum(parts * parts)[:-1]])
+    parts = np.maximum(1, np.ceil(rows / PART_ROWS)).astype("i8") if last else np.ones(len(starts), "i8")
+    return Router(c[order], starts, parts, np.r_[0, np.cumsum(parts * parts)[:-1]], int((rows * parts).sum()))
 
 
 def route(x: np.ndarray, cls: list[bytes], router: Router, margin: float, step: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,6 +257,66 @@ def route(x: np.ndarray, cls: list[bytes], router: Router, margin: float, step:
     return row, router.keys[group] + np.minimum(part, other) * n + np.maximum(part, other), part
 
 
+def partitions(spark: SparkSession, rows: int) -> int:
+    """Shuffle partitions for work on so many routed rows: as set, or more where these would hold over TASK_ROWS rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def deepen(routed: DataFrame, total: int, margin: float) -> DataFrame:
+    """``routed`` (leaf, part where there are any, cls, vec, ...) with every leaf routed on until leaves hold about LEAF_ROWS of ``total`` rows.
+
+    The rows of a leaf are spread over tasks by a hash of their class, and the leaf's router comes to each as the first
+    row, so no leaf is held in one task. With at most MAX_LEAVES * LEAF_ROWS rows there is nothing to do.
+    """
+    spark = routed.sparkSession
+    names = routed.columns
+
+    def fit(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+        for t in by_leaf(batches):
+            router = fit_router(unit(unpack(t["vec"].to_pylist())), t["n"][0].as_py(), margin, last, t["leaves"][0].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([t["leaf"][0].as_py()]), pa.array([pickle.dumps(tuple(router))], pa.binary())], ["leaf", "router"])
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        router = None
+        for b in batches:
+            given = b.column(b.schema.get_field_index("router"))
+            ends = [*np.flatnonzero(np.asarray(given.is_valid())), b.num_rows]
+            if ends[0]:
+                ends = [-1, *ends]
+            for a, e in zip(ends, ends[1:]):
+                if a >= 0:
+                    router = Router(*pickle.loads(given[int(a)].as_py()))
+                some = pa.Table.from_batches([b.slice(a + 1, e - a - 1)]).select(names)
+                if not some.num_rows:
+                    continue
+                cls = some["cls"].to_pylist()
+                row, key, part = route(unit(unpack(some["vec"].to_pylist())), cls, router, margin)
+                out = some.take(pa.array(row))
+                leaf = (np.asarray(out["leaf"]) << 24) + key
+                for name, value in (("leaf", leaf), ("part", part)):
+                    if name in names:
+                        out = out.set_column(names.index(name), name, pa.array(value, pa.int64()))
+                yield from out.combine_chunks().to_batches()
+
+    for level in range(1, depth(total)):
+        routed = cut(routed)
+        count = cut(routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")))
+        rows = routed.join(F.broadcast(count), "leaf") if level == 1 else salted_lookup(routed, count, "leaf")  # at most MAX_LEAVES leaves after the first level
+        leaves = F.greatest(F.lit(1), F.least(F.lit(MAX_LEAVES), F.floor(F.col("n") / LEAF_ROWS))).cast("int")
+        share = F.greatest(F.lit(2 * LEAF_ROWS), leaves * SAMPLE_PER_LEAF) / F.col("n")
+        some = rows.where(F.pmod(F.xxhash64("cls", F.lit(9)), F.lit(1_000_000)) < share * 1_000_000).select("leaf", "vec", "n", leaves.alias("leaves"))
+        schema = "leaf bigint, router binary"
+        last = level == depth(total) - 1
+        routers = spread(some, "leaf").sortWithinPartitions("leaf").mapInArrow(lambda batches, last=last: fit(batches, last), schema)
+        tasks = F.ceil(F.col("n") / TASK_ROWS)
+        ready = rows.withColumn("router", F.lit(None).cast("binary")).withColumn("salt", F.pmod(F.xxhash64("cls"), tasks).cast("bigint")).drop("n")
+        first = routers.join(count, "leaf").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), tasks - 1))).drop("n")
+        both = ready.unionByName(first, allowMissingColumns=True)
+        wide = both.repartition(partitions(spark, routed.count()), "leaf", "salt").sortWithinPartitions("leaf", "salt", F.col("router").isNull())
+        routed = wide.mapInArrow(go_on, routed.schema)
+    return routed
+
+
 def leaf_count(rows: int) -> int:
     return int(min(MAX_LEAVES, max(1, rows // LEAF_ROWS)))
 

@@ -160,9 +160,13 @@ def test_clusters_against_brute_force(spark):
     assert clusters.clusters(df.limit(0)).count() == 0
 
 
-def test_recall_with_many_leaves(spark, monkeypatch):
-    """Neighbours and clusters when the table is spread over leaves: recall of pairs that must share one."""
+@pytest.mark.parametrize("most", [4000, 6])
+def test_recall_with_many_leaves(spark, monkeypatch, most):
+    """Neighbours and clusters when the table is spread over leaves, of one or two routers: recall of pairs that must share one."""
     monkeypatch.setattr(vectors, "LEAF_ROWS", 100)
+    monkeypatch.setattr(vectors, "MAX_LEAVES", most)
+    monkeypatch.setattr(vectors, "TASK_ROWS", 500)
+    assert vectors.depth(3000) == (1 if most == 4000 else 2)
     rng = np.random.default_rng(4)
     v = _vectors(rng, [3] * 1000)
     df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id bigint, embedding array<double>")
@@ -173,10 +177,11 @@ def test_recall_with_many_leaves(spark, monkeypatch):
     assert len(found & {(i, i // 3 * 3) for i in range(3000)}) >= 2970
 
 
-@pytest.mark.parametrize("part", [None, 700])
-def test_tight_bundle_with_a_third_of_the_rows(spark, monkeypatch, part):
-    """All rows of the bundle are near all its leaves; every row must still meet its neighbours, also over parts."""
+@pytest.mark.parametrize("part, most", [(None, 4000), (700, 4000), (None, 30)])
+def test_tight_bundle_with_a_third_of_the_rows(spark, monkeypatch, part, most):
+    """All rows of the bundle are near all its leaves; every row must still meet its neighbours, also over parts and routers."""
     monkeypatch.setattr(vectors, "LEAF_ROWS", 10)
+    monkeypatch.setattr(vectors, "MAX_LEAVES", most)
     if part:
         monkeypatch.setattr(vectors, "PART_ROWS", part)
     rng = np.random.default_rng(9)
