@@ -15,12 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenix.operators.skew import hot_keys
+from provenix.operators.skew import hot_hashes, salt_all, salt_many
 
 #: Consecutive key values to a range: the most parents one array can hold.
 RANGE = 8_192
-#: Partitions over which the references of a hot range are spread.
-SALTS = 32
 
 _OUT = "ref_table string, ref_column string, row_id bigint, target_id bigint, at timestamp_ntz, missing boolean, deleted boolean, later boolean"
 _NONE = np.iinfo(np.int64).min
@@ -85,7 +83,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "missing": missing[bad], "deleted": deleted[bad], "later": later[bad]}).combine_chunks().to_batches()
 
 
-def orphans(refs: DataFrame, parent: DataFrame, salts: int = SALTS) -> DataFrame:
+def orphans(refs: DataFrame, parent: DataFrame) -> DataFrame:
     """The references that do not hold, with the reasons: missing, deleted, later (arrives after the reference).
 
     ``refs`` as from :func:`reference_rows`, ``parent`` as from :func:`parents`. A null ``at`` or ``since`` is never
@@ -96,10 +94,9 @@ def orphans(refs: DataFrame, parent: DataFrame, salts: int = SALTS) -> DataFrame
     packed = parent.withColumn("range", span("key")).groupBy("range").agg(F.collect_list(F.struct(
         "key", F.coalesce(F.unix_micros(F.col("since").cast("timestamp")), F.lit(_NONE)).alias("since"),
         (F.when(F.col("present"), 1).otherwise(0) + F.when(F.col("deleted"), 2).otherwise(0)).cast("tinyint").alias("flags"))).alias("p"))
-    hot = [k for k, _ in hot_keys(asked, "range")]
-    is_hot = F.coalesce(F.col("range").isin(hot), F.lit(False)) if hot else F.lit(False)
-    asked = asked.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("row_id"), F.lit(salts))).otherwise(0).cast("int"))
-    packed = packed.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    hot = hot_hashes(asked, "range")
+    asked = salt_many(asked, "range", hot).withColumnRenamed("_salt", "salt") if hot else asked.withColumn("salt", F.lit(0))
+    packed = salt_all(packed, "range", hot).withColumnRenamed("_salt", "salt") if hot else packed.withColumn("salt", F.lit(0))
     cols = ["range", "salt"]
     none = lambda kind: F.lit(None).cast(kind)
     rows = asked.select(*cols, "ref_table", "ref_column", "row_id", "key", "at", none("array<bigint>").alias("keys"), none("array<bigint>").alias("since"), none("array<tinyint>").alias("flags"))

@@ -98,7 +98,6 @@ def test_orphans(spark):
 
 def test_orphans_with_a_hot_range(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 100)
-    monkeypatch.setattr(references, "hot_keys", lambda df, k: skew.hot_keys(df, k, least=100))
     items = spark.range(0, 5000, 2).select(F.col("id"), F.lit(None).cast("timestamp_ntz").alias("ingested_at"))
     gone = spark.createDataFrame([], "media_id bigint, restored_at timestamp_ntz")
     rel = spark.range(3000).select("id", F.col("id").alias("source_id"), F.lit(None).cast("bigint").alias("target_id"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
