@@ -71,7 +71,7 @@ def with_keys(classes: DataFrame, radius: int, r: int) -> DataFrame:
     return classes.withColumn("bucket", F.explode(keys("p", radius, r)))
 
 
-def _compare(radius: int, r: int, radius_d: int, chunks: dict[int, int]):
+def _compare(radius: int, r: int, radius_d: int):
     cut = blocks(radius, r)
     combos = list(combinations(range(len(cut)), r))
     width = _key_bits(cut, r)
@@ -103,8 +103,7 @@ def _compare(radius: int, r: int, radius_d: int, chunks: dict[int, int]):
             a, b = li[a], right[b + k]
             twice = (side[a] & 2 != 0) & (side[b] & 1 != 0)
             keep = np.where(twice, a < b, a != b)
-            if bucket in chunks:  # of two chunks, only pairs across; of one chunk with itself, all
-                keep &= (chunk[a] != chunk[b]) | (chunk.min() == chunk.max())
+            keep &= (chunk[a] != chunk[b]) | (chunk.min() == chunk.max())  # of two chunks, only pairs across; of one chunk with itself, all
             a, b = a[keep], b[keep]
             x, y = p[a].view("u8") ^ p[b].view("u8"), d[a].view("u8") ^ d[b].view("u8")
             keep = (np.bitwise_count(y) <= radius_d) & first_meeting(x, bucket)
@@ -141,16 +140,15 @@ def close_pairs(keyed: DataFrame, radius: int, r: int, radius_d: int = 64) -> Da
     bit 1 in ``side`` and the other bit 2. Every unordered pair comes out once. Buckets above CHUNK rows are cut into
     chunks and each pair of chunks goes to its own task, so no bucket is too large for one.
     """
-    heavy = hot_keys(keyed, "bucket", share=1e-4, least=CHUNK)
-    chunks = {int(k): -(-n // CHUNK) for k, n in heavy}
     rows = keyed.select("bucket", "p", "d", "side")
-    if chunks:
-        table = F.create_map(*[x for k, n in chunks.items() for x in (F.lit(k).cast("bigint"), F.lit(n))])
-        n = F.coalesce(table[F.col("bucket")], F.lit(1))
-        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("p", "d"), n).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), n - 1)).alias("_o")
-        rows = rows.select("*", n.alias("_n"), other).withColumn("part", (F.least("chunk", "_o") * F.col("_n") + F.greatest("chunk", "_o")).cast("int")).drop("_n", "_o")
+    heavy = [(k, -(-n // CHUNK)) for k, n in hot_keys(keyed, "bucket", CHUNK)]
+    if heavy:
+        table = keyed.sparkSession.createDataFrame(heavy, "bucket bigint, _n int")
+        rows = rows.join(F.broadcast(table), "bucket", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("p", "d"), F.col("_n")).cast("int"))
+        rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        rows = rows.withColumn("part", (F.least("chunk", "_o") * F.col("_n") + F.greatest("chunk", "_o")).cast("int")).drop("_n", "_o")
     else:
         rows = rows.withColumn("chunk", F.lit(0)).withColumn("part", F.lit(0))
     sorted_ = spread(rows, "bucket", "part").sortWithinPartitions("bucket", "part")
-    return sorted_.mapInArrow(_compare(radius, r, radius_d, chunks), "p_a bigint, d_a bigint, p_b bigint, d_b bigint, dist_p int, dist_d int")
+    return sorted_.mapInArrow(_compare(radius, r, radius_d), "p_a bigint, d_a bigint, p_b bigint, d_b bigint, dist_p int, dist_d int")

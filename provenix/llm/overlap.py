@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenix.llm import hamming
-from provenix.llm.pairs import salted_pairs
+from provenix.operators.skew import salted_pairs
 from provenix.session import cut
 from provenix.sources.tables import once_by_id
 

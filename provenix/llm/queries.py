@@ -62,7 +62,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query()
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = linkage.run_deliveries(table(spark, sf_dir, "media_items")).links()
-    return linkage.score(links, linkage.weights(links))
+    return linkage.score(links, linkage.weights(linkage.agreements(links)))
 
 
 @REG.query()

@@ -257,7 +257,7 @@ def test_linkage_equals_brute_force(spark):
         linker.update_clusters(k)
     reps = {r.media_id: r.cluster_rep for r in linker.clusters().collect()}
     assert {(x, r) for x, r in reps.items() if x in {i for pair in want for i in pair}} == _brute_groups(want)
-    scored = linkage.score(links, linkage.weights(links))
+    scored = linkage.score(links, linkage.weights(linkage.agreements(links)))
     assert scored.where("same_sha and weight <= 0").count() == 0
     assert linkage.run_deliveries(df.limit(0)).links().count() == 0
 
@@ -441,9 +441,7 @@ def hot(monkeypatch):
     """Keys with more than 20 rows count as hot, so the salted paths run on small tables."""
     from provenix.operators import skew
 
-    real = skew.hot_keys
-    low = lambda df, key, share=1 / 256, least=20: real(df, key, share, min(least, 20))
-    monkeypatch.setattr(skew, "hot_keys", low)
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
     monkeypatch.setattr(components, "HOT_ROWS", 0)
 
 
