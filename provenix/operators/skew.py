@@ -63,13 +63,14 @@ def salted_lookup(many: DataFrame, one: DataFrame, key: str, how: str = "left",
     return salt_many(many, key, hot).join(salt_all(one, key, hot), [key, "_salt"], how).drop("_salt")
 
 
-def salted_pairs(left: DataFrame, right: DataFrame, key: str, condition=None) -> DataFrame:
+def salted_pairs(left: DataFrame, right: DataFrame, key: str, condition=None, hot: list[tuple[int, int]] | None = None) -> DataFrame:
     """left join right on ``key`` where both sides may repeat it; hot keys of ``left`` are spread over their salts.
 
     Rows of ``left`` are dealt to one salt each, those of ``right`` with a hot key go to all salts, so every pair meets
-    exactly once. The columns of both sides but the key must differ.
+    exactly once. The columns of both sides but the key must differ. ``hot`` are the hot keys of ``left``, if known; a
+    left side of at most HOT_ROWS rows has none.
     """
-    hot = hot_hashes(left, key)
+    hot = hot_hashes(left, key) if hot is None else hot
     if not hot:
         out = left.join(right, key)
     else:
