@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from provenix.llm import hamming
 from provenix.llm.components import components
+from provenix.operators import skew
 from provenix.operators.skew import salted_lookup, salted_pairs
 from provenix.session import cut, shared_table
 from provenix.sources.tables import once_by_id
@@ -78,17 +79,23 @@ class Linker:
             again = history.select("id").join(rows.select("id"), "id", "left_semi")
             rows = rows.join(again, "id", "left_anti")
         new = self._write(rows, "items", _ITEM)
+        n = new.count()
+        none_hot = [] if n <= skew.HOT_ROWS else None
         if self.blocks is None:
-            self.blocks = hamming.matching_blocks(expected_rows or new.count(), self.radius)
+            self.blocks = hamming.matching_blocks(expected_rows or n, self.radius)
         r = self.blocks
 
         classes = new.where("p is not null").select("p", "d").distinct()
         keys = "p bigint, d bigint, bucket bigint"
         fresh = self._write(hamming.with_keys(classes, self.radius, r), "keys", keys)
-        probe = fresh.withColumn("side", F.lit(3))
-        if k:  # stored keys are only probed; new ones probe, and are probed as well
-            probe = probe.unionByName(self._read("keys", k, keys).join(fresh.select("bucket"), "bucket", "left_semi").withColumn("side", F.lit(2)))
-        near = self._write(hamming.close_pairs(probe, self.radius, r, self.radius), "pairs", _PAIR)
+        found = hamming.close_pairs(fresh.withColumn("side", F.lit(3)), self.radius, r, self.radius)
+        if k:  # stored keys are streamed past the new ones, which are broadcast if few; they are not shuffled then
+            stored = self._read("keys", k, keys).select(F.col("p").alias("p_b"), F.col("d").alias("d_b"), "bucket")
+            apart = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+            met = stored.join(fresh.select(F.col("p").alias("p_a"), F.col("d").alias("d_a"), "bucket"), "bucket")
+            met = met.where((apart("p") <= self.radius) & (apart("d") <= self.radius) & ((F.col("p_a") != F.col("p_b")) | (F.col("d_a") != F.col("d_b"))))
+            found = found.unionByName(met.select("p_a", "d_a", "p_b", "d_b", apart("p").alias("dist_p"), apart("d").alias("dist_d")))
+        near = self._write(found, "pairs", _PAIR)
         turned = near.select(F.col("p_b").alias("p_a"), F.col("d_b").alias("d_a"), F.col("p_a").alias("p_b"), F.col("d_a").alias("d_b"), "dist_p", "dist_d")
         same = classes.select(F.col("p").alias("p_a"), F.col("d").alias("d_a"), F.col("p").alias("p_b"), F.col("d").alias("d_b"), F.lit(0).alias("dist_p"), F.lit(0).alias("dist_d"))
         pairs = near.unionByName(turned).unionByName(same)
@@ -105,11 +112,12 @@ class Linker:
             every_hashed = hashed.unionByName(old.where("sha is not null").join(new.select("sha"), "sha", "left_semi").select(hashed.columns))
         else:
             every_coded, every_hashed = coded, hashed
-        half = cut(salted_pairs(coded.select(F.col("id").alias("x"), F.col("batch_id").alias("bx"), F.struct(F.col("p").alias("p_a"), F.col("d").alias("d_a")).alias("ka")), pairs, "ka").drop("ka"))
+        half = cut(salted_pairs(coded.select(F.col("id").alias("x"), F.col("batch_id").alias("bx"), F.struct(F.col("p").alias("p_a"), F.col("d").alias("d_a")).alias("ka")), pairs, "ka", hot=none_hot).drop("ka"))
+        few = [] if half.count() <= skew.HOT_ROWS else None
         other = every_coded.select(F.col("id").alias("y"), F.col("batch_id").alias("b_y"), F.struct(F.col("p").alias("p_b"), F.col("d").alias("d_b")).alias("kb"))
-        by_code = salted_pairs(half, other, "kb", condition=F.col("bx") != F.col("b_y")).select("x", "y", "bx", "b_y", F.lit(False).alias("same_sha"), "dist_p", "dist_d")
+        by_code = salted_pairs(half, other, "kb", condition=F.col("bx") != F.col("b_y"), hot=few).select("x", "y", "bx", "b_y", F.lit(False).alias("same_sha"), "dist_p", "dist_d")
         sha = salted_pairs(hashed.select(F.col("id").alias("x"), F.col("batch_id").alias("bx"), "sha"),
-                           every_hashed.select(F.col("id").alias("y"), F.col("batch_id").alias("b_y"), "sha"), "sha", condition=F.col("bx") != F.col("b_y"))
+                           every_hashed.select(F.col("id").alias("y"), F.col("batch_id").alias("b_y"), "sha"), "sha", condition=F.col("bx") != F.col("b_y"), hot=none_hot)
         none = F.lit(None).cast("int")
         by_sha = sha.select("x", "y", "bx", "b_y", F.lit(True).alias("same_sha"), none.alias("dist_p"), none.alias("dist_d"))
         both = by_code.unionByName(by_sha)
@@ -209,7 +217,7 @@ def score(links: DataFrame, w: dict[str, list[float]]) -> DataFrame:
 
 
 #: Share of the range of batch numbers that is loaded first; every later batch is a delivery of its own.
-FIRST = 0.75
+FIRST = 0.9
 
 
 def run_deliveries(items: DataFrame, first: float = FIRST, radius: int = RADIUS) -> Linker:
