@@ -87,8 +87,9 @@ def consensus(ai: Column, forest: Column, trust: Column, screenshot: Column, ste
             .when((ai < 30) & (forest < 20) & (trust >= 90) & (stego < 15) & (screenshot < 15), "VERIFIED_AUTHENTIC").when((ai < 50) & (forest < 30) & (trust >= 80), "LIKELY_AUTHENTIC").otherwise("INVESTIGATE_FURTHER"))
 
 
-#: Weights of the kinds of evidence.
+# Weights of the kinds of evidence.
 EVIDENCE = {"visual": 35, "semantic": 15, "metadata": 15, "dimension": 15, "compression": 10, "timeline": 10}
+# End of fixed values.
 
 
 def evidence_confidence(parts: dict[str, Column]) -> Column:

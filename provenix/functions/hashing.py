@@ -82,3 +82,10 @@ def hash_of_grid(v: Column | str, kind: str) -> Column:
 def match_band(distance: Column) -> Column:
     """Band of a hash distance: up to 4 bits, up to 12, more."""
     return F.when(distance <= 4, "near-identical").when(distance <= 12, "similar").otherwise("different")
+
+
+def md5_mod(text: Column, n: int) -> Column:
+    """The MD5 of a text as one number, modulo ``n``; null counts as the empty text."""
+    digits = F.md5(F.coalesce(text, F.lit("")))
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substr(digits, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint"))
+    return F.aggregate(pieces, F.lit(0).cast("bigint"), lambda r, x: F.pmod(r * 65536 + x, F.lit(n))).cast("int")

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Thresholds and weights of the pair scorer.
 @dataclass(frozen=True)
 class Thresholds:
     """Fixed values of the pair scorer."""
@@ -26,6 +27,9 @@ class Thresholds:
     full_frame: dict = field(default_factory=lambda: {"hashes": 0.25, "ssim": 0.25, "color": 0.20, "semantic": 0.20, "jpeg": 0.05, "aspect": 0.05})
 
 
+# End of fixed values.
+
+
 DEFAULT = Thresholds()
 
 
@@ -98,22 +102,29 @@ def containment(standard: Column, overlap: Column, confidence: Column, exceed: C
     return F.when(F.coalesce(standard, F.lit(False)), 100.0).when(F.coalesce(loose, F.lit(False)), F.greatest(F.lit(50.0), 100 - exceed / 2)).otherwise(0.0)
 
 
-#: Channels in the order in which ties are won.
+# Channels in the order in which ties are won, and the points of each: without or with tags, by the longer
+# side or the quality, where it lies in one of the spans, and where it does not.
 PLATFORMS = ("WhatsApp", "Telegram", "Social Media", "Email", "Other")
+CHANNEL_POINTS = (
+    ("WhatsApp", "bare", "edge", ((1280, 1280), (1600, 1600)), 0.5, 0.0), ("WhatsApp", "bare", "quality", ((50, 75),), 0.3, 0.1),
+    ("Telegram", "bare", "edge", ((None, 1279),), 0.4, 0.0), ("Telegram", "bare", "quality", ((50, 80),), 0.3, 0.1),
+    ("Social Media", "bare", "edge", ((960, 960), (1080, 1080), (2048, 2048)), 0.4, 0.0), ("Social Media", "bare", "quality", ((70, 85),), 0.3, 0.1),
+    ("Email", "tagged", "edge", ((None, None),), 0.6, 0.0), ("Email", "tagged", "quality", ((90, None),), 0.3, 0.0),
+)
+OTHER_POINTS, UNKNOWN_QUALITY = 0.1, 75
+# End of fixed values.
 
 
 def platform_scores(exif_count: Column, width: Column, height: Column, quality: Column) -> Column:
     """struct of the normalised score of each channel, rounded half even to three places."""
     bare = F.coalesce(exif_count, F.lit(0)) == 0
-    edge = F.coalesce(F.greatest(width, height), F.lit(0))
-    q = F.coalesce(quality, F.lit(75))
-    wa, sm = edge.isin(1280, 1600), edge.isin(960, 1080, 2048)
-    tg = (edge <= 1280) & ~wa
-    when = lambda c, v, o=0.0: F.when(c, v).otherwise(o)
-    raw = {
-        "WhatsApp": when(bare, when(wa, 0.5) + when(q.between(50, 75), 0.3, 0.1)), "Telegram": when(bare, when(tg, 0.4) + when(q.between(50, 80), 0.3, 0.1)),
-        "Social Media": when(bare, when(sm, 0.4) + when(q.between(70, 85), 0.3, 0.1)), "Email": when(~bare, F.lit(0.6) + when(q >= 90, 0.3)), "Other": F.lit(0.1),
-    }
+    value = {"edge": F.coalesce(F.greatest(width, height), F.lit(0)), "quality": F.coalesce(quality, F.lit(UNKNOWN_QUALITY))}
+    raw = {k: F.lit(OTHER_POINTS if k == "Other" else 0.0) for k in PLATFORMS}
+    for channel, state, what, spans, inside, outside in CHANNEL_POINTS:
+        hit = F.lit(False)
+        for low, high in spans:
+            hit = hit | ((F.lit(True) if low is None else value[what] >= low) & (F.lit(True) if high is None else value[what] <= high))
+        raw[channel] = raw[channel] + F.when(bare == (state == "bare"), F.when(hit, inside).otherwise(outside)).otherwise(0.0)
     total = sum(raw.values(), F.lit(0.0))
     return F.struct(*[F.bround(raw[k] / total, 3).alias(k) for k in PLATFORMS])
 
@@ -138,12 +149,13 @@ def relationship(same_sha, filename, ssim, color, w1, h1, w2, h2, contained, pla
             .when(yes(contained), "Crop").when(differ & ratio, via).when(differ, "Resize").when(yes(q_sim <= 0.85), "Recompressed").otherwise("Duplicate"))
 
 
-#: Kinds of variant by relationship; everything else is a modified variant.
+# Kinds of variant by relationship; everything else is a modified variant.
 CLASSES = {
     "Cropped Variant": ("Crop", "Cropped Variant"), "Screenshot-Derived Variant": ("Screenshot", "Screenshot-Derived Variant"),
     "Resized Variant": ("Resize", "WhatsApp Variant", "Social Media Variant", "Email Variant", "Resized Variant"),
     "Watermarked Variant": ("Watermarked Variant", "Watermark"), "Compressed Variant": ("Recompressed", "Compressed Variant"), "Duplicate": ("Duplicate",),
 }
+# End of fixed values.
 
 
 def asset_class(kind: Column) -> Column:

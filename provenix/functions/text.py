@@ -5,8 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Tags by word of a file name.
-TAGS = {"bridge": "structure", "stadium": "structure", "tunnel": "structure", "courtyard": "place", "festival": "event", "harbor": "place", "market": "place", "crowd": "event", "night": "time", "dusk": "time", "dawn": "time", "foggy": "weather", "snowy": "weather", "rainy": "weather"}
+from provenix.functions import hashing
+
+# Tags by word of a file name.
+TAGS = {
+    "drone": ("Drone", "Telemetry", "Aerial"), "telemetry": ("Telemetry", "Data Overlay"), "satellite": ("Satellite", "Reconnaissance", "Spatial"), "recon": ("Reconnaissance", "Military"),
+    "crypto": ("Cryptography", "Network", "Secure Tunnel"), "leak": ("Intelligence Leak", "Data Breach"), "protest": ("Protest", "Crowd", "Civil Unrest"), "crowd": ("Crowd", "Urban"),
+    "document": ("Document", "Text Analysis"), "map": ("Map", "Geospatial"),
+}
+# Scenes by part of a file name: of each list the first that fits; a subject's scene goes before a setting's.
+SETTINGS = (
+    (("drone", "telemetry"), "Aerial drone view showing topographical overlay metrics."), (("satellite", "recon"), "High-altitude satellite reconnaissance imagery."),
+    (("crypto", "leak", "tunnel"), "Logical cybersecurity network diagram."), (("pahalgam", "pahalgram"), "Scenic mountain valley and river photography."),
+)
+SUBJECTS = (
+    (("building",), "Urban architecture composition."), (("human",), "Individual portrait photography."), (("vehicle",), "Vehicle capture on transportation roadway."), (("cat",), "Close-up domestic pet photography."),
+)
+NO_SCENE = "Visual media composition."
+PLAIN_NAMES, SURE, UNSURE = ("pahalgram", "drone", "satellite"), 85, 60
+# Sources of pictures: tags in names, generators by part of a name, brands, sizes of screens (either way round), shares of a hash's hundredths.
+SOURCE_TAGS = ("IPHONE", "ANDROID", "DSLR", "SCREENSHOT", "WHATSAPP", "INSTAGRAM", "MIDJOURNEY", "FLUX", "CHATGPT", "SDXL")
+GENERATORS = (("MIDJOURNEY", ("midjourney",)), ("FLUX", ("flux",)), ("CHATGPT", ("chatgpt", "dall")), ("SDXL", ("sd", "stable")))
+PHONES = ("apple", "samsung", "oneplus", "google", "xiaomi", "huawei", "motorola", "oppo", "vivo", "realme")
+CAMERAS = ("nikon", "canon", "sony", "fujifilm", "pentax", "olympus", "panasonic", "leica", "hasselblad")
+SCREEN_SIZES = ((1920, 1080), (2560, 1440), (1280, 720), (2340, 1080), (2532, 1170), (2778, 1284))
+SOURCE_SHARES = (("IPHONE", 25), ("ANDROID", 50), ("DSLR", 70), ("WHATSAPP", 85), ("INSTAGRAM", 100))
+# End of fixed values.
+
+
+def _holds(text: Column, parts: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | text.contains(p)
+    return out
 
 
 def words(text: Column) -> Column:
@@ -14,10 +45,24 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1), F.array().cast("array<string>"))
 
 
-def tags(text: Column, most: int = 5) -> Column:
-    """At most ``most`` different tags of the words, in alphabetical order."""
-    known = F.create_map(*[F.lit(x) for kv in TAGS.items() for x in kv])
-    return F.slice(F.array_sort(F.array_distinct(F.array_compact(F.transform(words(text), lambda w: known[w])))), 1, most)
+def tags(filename: Column, kind: Column | None = None, mime: Column | None = None, known: dict[str, tuple[str, ...]] = TAGS, most: int = 5) -> Column:
+    """At most ``most`` different tags, in alphabetical order: of the name's words, of the format and of video or image."""
+    table = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    found = F.flatten(F.array_compact(F.transform(words(filename), lambda w: table[w])))
+    if kind is not None:
+        found = F.concat(found, F.array_compact(F.array(F.when(F.coalesce(kind, F.lit("")) != "", F.concat(F.lit("Format: "), kind)))))
+    if mime is not None:
+        found = F.concat(found, F.array(F.when(F.coalesce(mime, F.lit("")).startswith("video/"), "Video Format").otherwise("Image Format")))
+    return F.slice(F.array_sort(F.array_distinct(found)), 1, most)
+
+
+def scene(filename: Column) -> Column:
+    """struct<scene, confidence> of what a file name says is shown."""
+    n = F.lower(F.coalesce(filename, F.lit("")))
+    out = F.lit(NO_SCENE)
+    for parts, text in (*SETTINGS[::-1], *SUBJECTS[::-1]):
+        out = F.when(_holds(n, parts), text).otherwise(out)
+    return F.struct(out.alias("scene"), F.when(_holds(n, PLAIN_NAMES), SURE).otherwise(UNSURE).alias("confidence"))
 
 
 def cleaned_query(filename: Column) -> Column:
@@ -55,14 +100,29 @@ def match_confidence(n_matches: Column, base: int = 55, step: int = 12, most: in
     return F.least(F.lit(most), F.lit(base) + F.lit(step) * n_matches).cast("int")
 
 
-def file_source(filename: Column, make: Column) -> Column:
-    """Source of a picture from a tag in its name, else from naming habits, else from the camera, else a hash bucket."""
-    n = F.lower(F.coalesce(filename, F.lit("")))
-    tag = F.upper(F.regexp_extract(F.coalesce(filename, F.lit("")), r"(?i)_src_([a-z]+)", 1))
-    bucket = F.pmod(F.conv(F.substring(F.md5(n), 32, 1), 16, 10).cast("int"), F.lit(4))
-    return (F.when(tag != "", tag).when(n.rlike("midjourney|dall-?e|stable.?diffusion"), "AI").when(n.rlike("screenshot|capture"), "SCREENSHOT").when(n.rlike("whatsapp|-wa\\d"), "WHATSAPP")
-            .when(n.contains("instagram"), "INSTAGRAM").when(F.lower(make).contains("quillon"), "DSLR").when(n.startswith("pxl_"), "ANDROID")
-            .otherwise(F.element_at(F.array(*[F.lit(x) for x in ("ANDROID", "IPHONE", "DSLR", "WHATSAPP")]), bucket + 1)))
+def file_source(filepath: Column, filename: Column, make: Column, model: Column, width: Column, height: Column, fake: Column) -> Column:
+    """Source of a picture: by a tag in its name, for generated ones by generator, else screenshot, channel, brand, and last by a hash of the name."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    name, low, path, brand = text(filename), F.lower(text(filename)), F.lower(text(filepath)), F.lower(F.concat_ws("|", text(make), text(model)))
+    sized = F.lit(False)
+    for a, b in SCREEN_SIZES:
+        sized = sized | (F.greatest(width, height) == a) & (F.least(width, height) == b)
+    shot = low.contains("screenshot") | path.contains("screenshot") | path.endswith(".png") | (F.coalesce(sized, F.lit(False)) & (text(make) == ""))
+    by_hash, percent = F.lit(SOURCE_SHARES[-1][0]), hashing.md5_mod(filename, 100)
+    for source, upto in SOURCE_SHARES[-2::-1]:
+        by_hash = F.when(percent < upto, source).otherwise(by_hash)
+    apple = F.lower(text(make)).contains("apple") | F.lower(text(model)).contains("iphone")
+    rules = [(shot, F.lit("SCREENSHOT")), (low.contains("whatsapp") | path.contains("whatsapp"), F.lit("WHATSAPP")), (_holds(low, ("insta", "fb")), F.lit("INSTAGRAM")),
+             (_holds(brand, PHONES), F.when(apple, "IPHONE").otherwise("ANDROID")), (_holds(brand, CAMERAS), F.lit("DSLR"))]
+    made = F.element_at(F.array(*[F.lit(g) for g, _ in GENERATORS]), hashing.md5_mod(filename, len(GENERATORS)) + 1)
+    for source, parts in GENERATORS[::-1]:
+        made = F.when(_holds(low, parts), source).otherwise(made)
+    out = by_hash
+    for rule, source in [(F.coalesce(fake, F.lit(False)), made), *rules][::-1]:
+        out = F.when(rule, source).otherwise(out)
+    for tag in SOURCE_TAGS[::-1]:
+        out = F.when(name.contains(f"_src_{tag}_"), tag).otherwise(out)
+    return out
 
 
 def source_identity(filename: Column) -> Column:

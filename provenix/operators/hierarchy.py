@@ -155,20 +155,39 @@ def hierarchy(items: DataFrame) -> DataFrame:
     ).withColumn("path", F.when(F.col("status").isin("root", "tree"), F.col("path_"))).drop("path_")
 
 
-def _tails(solved: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, n): descendants of the nodes below a cycle; without their cycle they are trees, solved as such."""
-    spec = "node bigint, n bigint"
+def _low_paths(solved: DataFrame, links: DataFrame) -> DataFrame | None:
+    """(node, path) of the nodes below a cycle, from the node that hangs on the cycle; None if there are none.
+
+    Without their cycle they are trees, and are solved as such.
+    """
     low = solved.where("status = 'below_cycle'").select("node")
     if not low.limit(1).count():
-        return solved.sparkSession.createDataFrame([], spec)
+        return None
     inner = low.join(links, "node").join(low.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent")
-    part = resolve(cut(inner), paths=True)
+    return resolve(cut(inner), paths=True).select("node", "path")
+
+
+def _tails(solved: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, n): descendants of the nodes below a cycle."""
+    part = _low_paths(solved, links)
+    if part is None:
+        return solved.sparkSession.createDataFrame([], "node bigint, n bigint")
     below = part.select(F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("node"))
     return below.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
 
 
 def descendants(items: DataFrame) -> DataFrame:
-    """(ancestor_id, descendant_id, distance) for every item of a tree and each item above it; cycles have no rows."""
-    solved = resolve(cut(media_links(items)), paths=True).where("status = 'tree'")
-    walk = solved.select(F.col("node").alias("descendant_id"), F.size("path").alias("n"), F.posexplode("path").alias("pos", "ancestor_id"))
-    return walk.where(F.col("pos") < F.col("n") - 1).select("ancestor_id", "descendant_id", (F.col("n") - 1 - F.col("pos")).cast("bigint").alias("distance"))
+    """(ancestor_id, descendant_id, distance, over_cycle): every item and each item above it.
+
+    A cycle stands for its members by its smallest id: every other item on it or below it has one row with that id as
+    ancestor, ``over_cycle`` true and no distance; the cycle's other members are ancestors just the same. Below a cycle
+    items are ancestors of one another as in a tree.
+    """
+    links = cut(media_links(items))
+    solved = cut(resolve(links, paths=True))
+    paths = solved.where("status = 'tree'").select("node", "path")
+    low = _low_paths(solved, links)
+    walk = (paths if low is None else paths.unionByName(low)).select(F.col("node").alias("descendant_id"), F.size("path").alias("n"), F.posexplode("path").alias("pos", "ancestor_id"))
+    walk = walk.where(F.col("pos") < F.col("n") - 1).select("ancestor_id", "descendant_id", (F.col("n") - 1 - F.col("pos")).cast("bigint").alias("distance"), F.lit(False).alias("over_cycle"))
+    ring = solved.where("status <> 'tree' and root <> node").select(F.col("root").alias("ancestor_id"), F.col("node").alias("descendant_id"), F.lit(None).cast("bigint").alias("distance"), F.lit(True).alias("over_cycle"))
+    return walk.unionByName(ring)

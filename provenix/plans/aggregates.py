@@ -195,9 +195,9 @@ def w6_mean_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- sets, duplicates, samples ----
-@REG.query("WITH r AS (SELECT DISTINCT id, combined_score FROM media_relationships) SELECT id, combined_score FROM r WHERE combined_score IS NOT NULL ORDER BY combined_score DESC, id LIMIT 100")
+@REG.query("WITH r AS (SELECT DISTINCT id, combined_score FROM media_relationships) SELECT id, combined_score FROM r WHERE combined_score IS NOT NULL ORDER BY combined_score DESC, id")
 def o1_sort_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "media_relationships").select("id", "combined_score").distinct().where("combined_score is not null").orderBy(F.desc("combined_score"), "id").limit(100)
+    return table(spark, sf_dir, "media_relationships").select("id", "combined_score").distinct().where("combined_score is not null").orderBy(F.desc("combined_score"), "id")
 
 
 @REG.query("SELECT doc_id, created_at FROM documents WHERE created_at IS NOT NULL ORDER BY created_at DESC, doc_id LIMIT 1")
@@ -251,10 +251,10 @@ def o10_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.top_per_group(a, ["ds"], [F.md5(F.concat(F.lit("11"), F.col("audit_id").cast("string"))), F.col("audit_id")], 30).select("audit_id", "ds")
 
 
-@REG.query(_AUDIT + " SELECT audit_id, (('0x' || substr(md5(coalesce(filename, '')), 32, 1))::INT % 4) AS bucket FROM au")
+@REG.query(_AUDIT + " SELECT audit_id, (('0x' || substr(md5(coalesce(filename, '')), 32, 1))::INT % 4) AS bucket, (list_reduce(list_transform(range(8), lambda i: ('0x' || substr(md5(coalesce(filename, '')), i::INT * 4 + 1, 4))::BIGINT), lambda r, x: (r * 65536 + x) % 100) % 100)::INT AS percentile FROM au")
 def o11_md5_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     digit = F.conv(F.substring(F.md5(F.coalesce("filename", F.lit(""))), 32, 1), 16, 10).cast("int")
-    return audit(spark, sf_dir).select("audit_id", F.pmod(digit, F.lit(4)).alias("bucket"))
+    return audit(spark, sf_dir).select("audit_id", F.pmod(digit, F.lit(4)).alias("bucket"), hashing.md5_mod(F.col("filename"), 100).alias("percentile"))
 
 
 _ = (hashing, _CODE)

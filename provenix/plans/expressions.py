@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenix.functions import binary, forensics, hashing, pixels, scoring, text, vectors
@@ -52,13 +52,13 @@ def e35_bit_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("source_id", "target_id", F.array_join(hashing.differing_bits("s.phash", "t.phash"), ",").alias("positions"), ((64 - c("dp")) * 100 / 64).cast("int").alias("percent"), hashing.match_band(c("dp")).alias("band"))
 
 
-@REG.query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), a AS (SELECT vec_id, list_transform(range(5), lambda i: v[12 * i + 1:12 * i + 12]) AS f FROM e), x AS (SELECT p.vec_id AS a, q.vec_id AS b, p.f AS l, q.f[2:4] AS s FROM a p JOIN a q ON q.vec_id = p.vec_id + 1 WHERE p.vec_id % 5 = 0)
+@REG.query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), a AS (SELECT vec_id, list_transform(range(5), lambda i: v[12 * i + 1:12 * i + 12]) AS f FROM e), x AS (SELECT p.vec_id AS a, q.vec_id AS b, p.f AS l, q.f[2:4] AS s FROM a p JOIN a q ON q.vec_id = p.vec_id + 1)
 SELECT a, b, round(greatest(0, list_max(list_transform(range(3), lambda o: (list_cosine_similarity(l[o + 1], s[1]) + list_cosine_similarity(l[o + 2], s[2]) + list_cosine_similarity(l[o + 3], s[3])) / 3))), 6) AS audio_similarity FROM x""")
 def e4_audio_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best alignment of five frames of twelve values with three of the next row."""
     frames = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.transform(F.slice("embedding", i * 12 + 1, 12), lambda x: x.cast("double")))
     e = table(spark, sf_dir, "embeddings").select("vec_id", frames.alias("f"))
-    x = e.where("vec_id % 5 = 0").select(c("vec_id").alias("a"), c("f").alias("l")).join(e.select((c("vec_id") - 1).alias("a"), c("vec_id").alias("b"), F.slice("f", 2, 3).alias("s")), "a")
+    x = e.select(c("vec_id").alias("a"), c("f").alias("l")).join(e.select((c("vec_id") - 1).alias("a"), c("vec_id").alias("b"), F.slice("f", 2, 3).alias("s")), "a")
     yes, mean = F.lit(True), F.array().cast("array<double>")
     return x.select("a", "b", F.round(vectors.audio_similarity(yes, c("l"), mean, yes, c("s"), mean), 6).alias("audio_similarity"))
 
@@ -201,12 +201,13 @@ def e36_playground(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(spark, sf_dir).select("id", F.greatest(F.lit(10), F.least(F.lit(100), 100 - (0.4 * crop).cast("int") - (0.3 * (100 - q)).cast("int"))).alias("score"))
 
 
-_TAGS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in text.TAGS.items()) + "}"
+_TAGS = "MAP {" + ", ".join(f"'{k}': {list(v)}" for k, v in text.TAGS.items()) + "}"
+_WORD_TAGS = f"flatten(list_filter(list_transform(regexp_extract_all(lower(coalesce(filename, '')), '[a-z0-9]+'), lambda w: {_TAGS}[w]), lambda x: x IS NOT NULL))"
 
 
-@REG.query(_MI + f" SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(lower(coalesce(filename, '')), '[a-z0-9]+'), lambda w: {_TAGS}[w]), lambda x: x IS NOT NULL)))[1:5], ',') AS tags FROM mi")
+@REG.query(mi("filename", "format", "mime_type") + f""" SELECT id, array_to_string(list_sort(list_distinct(list_filter({_WORD_TAGS} || ['Format: ' || nullif(format, ''), CASE WHEN starts_with(coalesce(mime_type, ''), 'video/') THEN 'Video Format' ELSE 'Image Format' END], lambda x: x IS NOT NULL)))[1:5], ',') AS tags FROM mi""")
 def e37_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark, sf_dir).select("id", F.array_join(text.tags(c("filename")), ",").alias("tags"))
+    return items(spark, sf_dir, "filename", "format", "mime_type").select("id", F.array_join(text.tags(c("filename"), c("format"), c("mime_type")), ",").alias("tags"))
 
 
 @REG.query(_MI + " SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(filename, ''), '\\.[^.]*$', ''), '[_|\\-]', ' ', 'g'), '(?i)\\b(copy|final|edited|img)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS query FROM mi")
@@ -214,7 +215,7 @@ def e38_cleaned_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(spark, sf_dir).select("id", text.cleaned_query(c("filename")).alias("query"))
 
 
-@REG.query(_MI + f", t AS (SELECT id, filename, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(lower(coalesce(filename, '')), '[a-z0-9]+'), lambda w: {_TAGS}[w]), lambda x: x IS NOT NULL)))[1:5] AS t FROM mi) SELECT id, CASE WHEN len(t) >= 2 THEN array_to_string(t[1:3], ' ') ELSE trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(filename, ''), '\\.[^.]*$', ''), '[_|\\-]', ' ', 'g'), '(?i)\\b(copy|final|edited|img)\\b', ' ', 'g'), '\\s+', ' ', 'g')) END AS query, least(95, 55 + 12 * len(t))::INT AS confidence FROM t")
+@REG.query(_MI + f", t AS (SELECT id, filename, list_sort(list_distinct({_WORD_TAGS}))[1:5] AS t FROM mi) SELECT id, CASE WHEN len(t) >= 2 THEN array_to_string(t[1:3], ' ') ELSE trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(filename, ''), '\\.[^.]*$', ''), '[_|\\-]', ' ', 'g'), '(?i)\\b(copy|final|edited|img)\\b', ' ', 'g'), '\\s+', ' ', 'g')) END AS query, least(95, 55 + 12 * len(t))::INT AS confidence FROM t")
 def e39_e40_semantic_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = text.tags(c("filename"))
     return _items(spark, sf_dir).select("id", F.when(F.size(t) >= 2, F.array_join(F.slice(t, 1, 3), " ")).otherwise(text.cleaned_query(c("filename"))).alias("query"), text.match_confidence(F.size(t)).alias("confidence"))
@@ -235,10 +236,14 @@ def e43_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.script(c("text")).alias("script"))
 
 
-@REG.query(_MI + " SELECT id, CASE WHEN regexp_matches(lower(filename), 'crowd|festival|market') THEN 'public event' WHEN regexp_matches(lower(filename), 'bridge|tunnel|stadium|station') THEN 'infrastructure' ELSE 'unclear' END AS scene FROM mi")
+def _cases(rules: tuple, column: str = "n") -> str:
+    return " ".join(f"WHEN {' OR '.join(f'contains({column}, {part!r})' for part in parts)} THEN '{name}'" for parts, name in rules)
+
+
+@REG.query(_MI + f""", x AS (SELECT id, lower(coalesce(filename, '')) AS n FROM mi) SELECT id, CASE {_cases(text.SUBJECTS)} {_cases(text.SETTINGS)} ELSE '{text.NO_SCENE}' END AS scene,
+CASE WHEN {' OR '.join(f"contains(n, '{w}')" for w in text.PLAIN_NAMES)} THEN {text.SURE} ELSE {text.UNSURE} END AS confidence FROM x""")
 def e44_filename_clues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.lower("filename")
-    return _items(spark, sf_dir).select("id", F.when(n.rlike("crowd|festival|market"), "public event").when(n.rlike("bridge|tunnel|stadium|station"), "infrastructure").otherwise("unclear").alias("scene"))
+    return _items(spark, sf_dir).select("id", text.scene(c("filename")).alias("s")).select("id", "s.*")
 
 
 @REG.query("SELECT doc_id, sha256(text) AS sha FROM documents WHERE text IS NOT NULL")
@@ -246,14 +251,24 @@ def e45_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
-_FN = "lower(coalesce(filename, ''))"
+def _hash_mod(n: int) -> str:
+    return f"list_reduce(list_transform(range(8), lambda i: ('0x' || substr(md5(coalesce(filename, '')), i::INT * 4 + 1, 4))::BIGINT), lambda r, x: (r * 65536 + x) % {n}) % {n}"
+
 
+_ORIGIN = f"""CASE {' '.join(f"WHEN contains(coalesce(filename, ''), '_src_{t}_') THEN '{t}'" for t in text.SOURCE_TAGS)}
+WHEN coalesce(is_fake, FALSE) THEN CASE {_cases(tuple((p, g) for g, p in text.GENERATORS))} ELSE {[g for g, _ in text.GENERATORS]}[{_hash_mod(4)} + 1] END
+WHEN contains(n, 'screenshot') OR contains(f, 'screenshot') OR ends_with(f, '.png') OR (make = '' AND ({' OR '.join(f'(greatest(width, height) = {a} AND least(width, height) = {b})' for a, b in text.SCREEN_SIZES)})) THEN 'SCREENSHOT'
+WHEN contains(n, 'whatsapp') OR contains(f, 'whatsapp') THEN 'WHATSAPP' WHEN contains(n, 'insta') OR contains(n, 'fb') THEN 'INSTAGRAM'
+WHEN {' OR '.join(f"contains(make, '{b}') OR contains(model, '{b}')" for b in text.PHONES)} THEN CASE WHEN contains(make, 'apple') OR contains(model, 'iphone') THEN 'IPHONE' ELSE 'ANDROID' END
+WHEN {' OR '.join(f"contains(make, '{b}') OR contains(model, '{b}')" for b in text.CAMERAS)} THEN 'DSLR'
+{' '.join(f"WHEN h < {upto} THEN '{source}'" for source, upto in text.SOURCE_SHARES)} END"""
 
-@REG.query(_AUDIT + f"""SELECT audit_id, CASE WHEN regexp_extract(coalesce(filename, ''), '(?i)_src_([a-z]+)', 1) <> '' THEN upper(regexp_extract(coalesce(filename, ''), '(?i)_src_([a-z]+)', 1)) WHEN regexp_matches({_FN}, 'midjourney|dall-?e|stable.?diffusion') THEN 'AI' WHEN regexp_matches({_FN}, 'screenshot|capture') THEN 'SCREENSHOT'
-WHEN regexp_matches({_FN}, 'whatsapp|-wa\\d') THEN 'WHATSAPP' WHEN contains({_FN}, 'instagram') THEN 'INSTAGRAM' WHEN contains(lower(exif['Make']), 'quillon') THEN 'DSLR' WHEN starts_with({_FN}, 'pxl_') THEN 'ANDROID'
-ELSE ['ANDROID', 'IPHONE', 'DSLR', 'WHATSAPP'][('0x' || substr(md5({_FN}), 32, 1))::INT % 4 + 1] END AS origin, lower(regexp_replace(regexp_replace(coalesce(filename, ''), '\\.[^.]*$', ''), '(?i)_(src|copy|resized|compressed|crop|cropped|watermark|watermarked|screenshot)(_.*)?$', '')) AS identity FROM au""".replace("SELECT audit_id, CASE", " SELECT audit_id, CASE", 1))
+
+@REG.query(_AUDIT + f""", x AS (SELECT *, lower(coalesce(filename, '')) AS n, lower(coalesce(filepath, '')) AS f, lower(coalesce(exif['Make'], '')) AS make, lower(coalesce(exif['Model'], '')) AS model, {_hash_mod(100)} AS h FROM au)
+SELECT audit_id, {_ORIGIN} AS origin, lower(regexp_replace(regexp_replace(coalesce(filename, ''), '\\.[^.]*$', ''), '(?i)_(src|copy|resized|compressed|crop|cropped|watermark|watermarked|screenshot)(_.*)?$', '')) AS identity FROM x""")
 def e46_e47_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit(spark, sf_dir).select("audit_id", text.file_source(c("filename"), F.element_at("exif", "Make")).alias("origin"), text.source_identity(c("filename")).alias("identity"))
+    origin = text.file_source(c("filepath"), c("filename"), F.element_at("exif", "Make"), F.element_at("exif", "Model"), c("width"), c("height"), c("is_fake"))
+    return audit(spark, sf_dir).select("audit_id", origin.alias("origin"), text.source_identity(c("filename")).alias("identity"))
 
 
 @REG.query("WITH g AS (SELECT event_id, (event_id % 90)::INT AS d, (event_id % 60)::INT AS m, (event_id % 59)::INT AS s, CASE WHEN event_id % 2 = 0 THEN 'N' ELSE 'S' END AS r FROM events) SELECT event_id, round((d + m / 60.0::DOUBLE + s / 3600.0::DOUBLE) * CASE WHEN r = 'S' THEN -1 ELSE 1 END, 6) AS degrees FROM g")
@@ -310,17 +325,29 @@ def e58_variant_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("kind", scoring.asset_class(c("kind")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# ---- bytes and pixels: numbers of the embeddings as file contents and grids ----
+# ---- bytes and pixels: texts as file contents, numbers of the embeddings as grids ----
 def _bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.encode("text", "utf-8").alias("content"))
-    head = F.unhex(F.lit("FFD8FFDB004300" + "".join(f"{v:02X}" for v in binary.STANDARD) + "FFDA"))
-    return d.select("doc_id", "content", F.concat(head, "content", F.unhex(F.lit("FFD9")), F.when(c("doc_id") % 3 == 0, F.encode(F.lit("PK\x03\x04 appended archive bytes"), "utf-8")).otherwise(F.unhex(F.lit("")))).alias("file"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.encode("text", "utf-8").alias("content"))
+
 
+def _hex(value: str | Column) -> Column:
+    return F.unhex(F.lit(value) if isinstance(value, str) else value)
 
-@REG.query("SELECT doc_id, 50 AS quality, 1 AS n_tables FROM documents WHERE text IS NOT NULL")
+
+_SCALE = "CASE WHEN doc_id % 100 + 1 < 50 THEN 5000 // (doc_id % 100 + 1) ELSE 200 - 2 * (doc_id % 100 + 1) END"
+
+
+@REG.query(f"""WITH s AS (SELECT doc_id, {_SCALE} AS s FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, list_sort(list_transform({binary.STANDARD}, lambda v: greatest(1, least(255, (v * s + 50) // 100)) * 100.0::DOUBLE / v)) AS r FROM s),
+m AS (SELECT doc_id, (r[32] + r[33]) / 2 AS m FROM r) SELECT doc_id, greatest(1, least(100, round_even(CASE WHEN m <= 100 THEN (200 - m) / 2 ELSE 5000 / m END, 0)))::INT AS quality, (1 + doc_id % 2)::INT AS n_tables FROM m""")
 def e9_e10_jpeg_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The standard table wrapped round every text parses back to quality 50."""
-    t = _bytes(spark, sf_dir).select("doc_id", binary.quantisation_tables("file").alias("t"))
+    """Files with the tables of quality 1 to 100, a second table in every other, a comment before and the text after them, parsed back."""
+    want = (c("doc_id") % 100 + 1).cast("int")
+    scale = F.when(want < 50, F.expr("5000 div (doc_id % 100 + 1)")).otherwise(200 - 2 * want)
+    entry = lambda v: F.lpad(F.hex(F.greatest(F.lit(1), F.least(F.lit(255), F.floor((v * scale + 50) / 100))).cast("bigint")), 2, "0")
+    one = F.array_join(F.transform(F.array(*map(F.lit, binary.STANDARD)), entry), "")
+    two = F.when(c("doc_id") % 2 == 1, F.concat(F.lit("FFDB004301"), F.lit("07" * 64))).otherwise("")
+    file = F.concat(_hex("FFD8FFFE0006FFDBFFDA"), _hex(F.concat(F.lit("FFDB004300"), one, two, F.lit("FFDA"))), c("content"), _hex("FFD9"))
+    t = _bytes(spark, sf_dir).select("doc_id", binary.quantisation_tables(file).alias("t"))
     return t.select("doc_id", binary.jpeg_quality(F.element_at("t", 0)).alias("quality"), F.size("t").alias("n_tables"))
 
 
@@ -330,10 +357,22 @@ def e26_byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bytes(spark, sf_dir).select("doc_id", F.round(binary.byte_entropy("content"), 5).alias("entropy"))
 
 
-@REG.query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 27 ELSE 0 END AS tail_bytes, CASE WHEN doc_id % 3 = 0 THEN 'zip' END AS signature FROM documents WHERE text IS NOT NULL")
+#: What is appended to a file: extension, tail in hex, whether a trusted camera took it; then bytes that count and points.
+_CASES = (
+    ("jpg", "", False, 0, 0), ("jpg", "41" * 16, False, 0, 0), ("jpg", "41" * 17, False, 17, 40), ("jpg", "504B0304" + "41" * 20, False, 24, 65), ("jpg", "504B0304" + "4D5A" + "41" * 20, False, 26, 90),
+    ("jpg", "FFD8" + "41" * 30, True, 32, 0), ("jpg", "FFD8" + "41" * 30, False, 32, 40), ("jpg", "504B0304" + "FFD8" + "41" * 30, False, 36, 85), ("jpg", "504B0304" + "41" * 20, True, 24, 25),
+    ("png", "41" * 16, False, 0, 0), ("png", "504E47" + "41" * 20, False, 23, 40), ("png", "504E47" + "7F454C46" + "41" * 20, False, 27, 85), ("gif", "504B0304" + "41" * 20, False, 0, 0),
+)
+
+
+@REG.query("SELECT doc_id, " + ", ".join(f"{[k[i] for k in _CASES]}[(doc_id % {len(_CASES)})::INT + 1]::INT AS {name}" for i, name in ((3, "tail_bytes"), (4, "suspicion"))) + " FROM documents WHERE text IS NOT NULL")
 def e27_appended_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _bytes(spark, sf_dir).select("doc_id", binary.overlay("file", F.lit(False)).alias("o"))
-    return o.select("doc_id", c("o.tail_bytes").alias("tail_bytes"), c("o.signature").alias("signature"))
+    """Tails of many kinds behind the end mark of files whose contents are texts; points without those for entropy."""
+    pick = lambda i: F.element_at(F.array(*[F.lit(k[i]) for k in _CASES]), (c("doc_id") % len(_CASES)).cast("int") + 1)
+    start = F.when(pick(0) == "png", _hex("89504E470D0A1A0A")).otherwise(_hex("FFD8"))
+    end = F.when(pick(0) == "png", _hex("0000000049454E44AE426082")).otherwise(_hex("FFD9"))
+    d = _bytes(spark, sf_dir).select("doc_id", binary.appended(F.concat(start, "content", end, F.unhex(pick(1))), pick(0)).alias("t"), pick(2).alias("trusted"))
+    return d.select("doc_id", c("t.tail_bytes").alias("tail_bytes"), binary.appended_suspicion(c("t"), c("trusted"), F.lit(0.0)).alias("suspicion"))
 
 
 @REG.query()

@@ -57,8 +57,10 @@ def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.hierarchy(table(spark, sf_dir, "media_items"))
 
 
-@REG.query(_LINKS + """SELECT path[i] AS ancestor_id, node AS descendant_id, (len(path) - i)::BIGINT AS distance
-FROM (SELECT node, path, unnest(range(1, len(path))) AS i FROM solved WHERE status = 'tree')""")
+@REG.query(_LINKS + """SELECT path[i] AS ancestor_id, node AS descendant_id, (len(path) - i)::BIGINT AS distance, FALSE AS over_cycle
+FROM (SELECT node, path, unnest(range(1, len(path))) AS i FROM solved WHERE status = 'tree')
+UNION ALL SELECT seen[i], node, i - 1, FALSE FROM (SELECT node, seen, unnest(range(2, list_position(seen, hit))) AS i FROM rings WHERE list_position(seen, hit) > 2)
+UNION ALL SELECT root, node, NULL, TRUE FROM solved WHERE status <> 'tree' AND root <> node""")
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(table(spark, sf_dir, "media_items"))
 

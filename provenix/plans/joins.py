@@ -26,17 +26,17 @@ _VIS = f"0.5 * (1 - {_dist('p')} / 64.0::DOUBLE) + 0.3 * (1 - {_dist('d')} / 64.
 
 
 @REG.query(_HASHED + f"""SELECT x.id AS probe_id, y.id AS id, round({_VIS}, 9) AS visual_similarity FROM h x JOIN h y ON x.id <> y.id
-WHERE x.id % 50 = 0 AND x.p IS NOT NULL AND y.p IS NOT NULL AND {_VIS} >= 0.75""")
+WHERE x.id % 50 = 0 AND x.p IS NOT NULL AND y.p IS NOT NULL AND {_VIS} >= 0.5""")
 def j1_probe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = items(spark, sf_dir, "phash", "dhash", "ahash")
-    return pairs.probe_join(d, d.where("id % 50 = 0"), 0.75).withColumn("visual_similarity", F.round("visual_similarity", 9))
+    return pairs.probe_join(d, d.where("id % 50 = 0"), 0.5).withColumn("visual_similarity", F.round("visual_similarity", 9))
 
 
 @REG.query(_HASHED + f"""SELECT x.id AS probe_id, y.id AS id, round({_VIS}, 9) AS visual_similarity FROM h x JOIN h y ON x.case_id = y.case_id AND x.id <> y.id
 WHERE x.id % 50 = 0 AND x.p IS NOT NULL AND y.p IS NOT NULL AND {_VIS} >= 0.5""")
 def j2_case_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = items(spark, sf_dir, "case_id", "phash", "dhash", "ahash")
-    return pairs.probe_join(d, d.where("id % 50 = 0"), 0.5, same="case_id").withColumn("visual_similarity", F.round("visual_similarity", 9))
+    return pairs.probe_join_within(d, d.where("id % 50 = 0"), "case_id", 0.5).withColumn("visual_similarity", F.round("visual_similarity", 9))
 
 
 _COS = "CASE WHEN len(x.embedding) = len(y.embedding) AND len(x.embedding) > 0 AND x.ok AND y.ok THEN list_cosine_similarity(x.embedding, y.embedding) END"
@@ -169,17 +169,16 @@ def j11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.join(y, ["case_id", "key"]).select(F.col("s.id").alias("original_id"), F.col("t.id").alias("variant_id"), "kind", dist["phash"].alias("phash_distance"), dist["dhash"].alias("dhash_distance"), dist["ahash"].alias("ahash_distance"))
 
 
-_KP = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0), d AS (SELECT q.vec_id AS a, e.vec_id AS b, round(list_cosine_similarity(q.v, e.v), 6) AS c FROM q JOIN e ON q.vec_id % 50 = 0 AND e.vec_id % 50 = 1)"
-
-
-@REG.query(_KP + """, l AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY c DESC, a) AS rb FROM d) SELECT a, b, c AS cosine FROM l WHERE ra = 1 AND rb = 1""")
+@REG.query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT q.vec_id AS a, e.vec_id AS b, round(list_cosine_similarity(q.v, e.v), 6) AS c FROM e q JOIN e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id),
+f AS (SELECT a, b, c FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) = 1),
+g AS (SELECT q.vec_id AS b, e.vec_id AS a, round(list_cosine_similarity(q.v, e.v), 6) AS c FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id IN (SELECT b FROM f)),
+h AS (SELECT a, b FROM g QUALIFY row_number() OVER (PARTITION BY b ORDER BY c DESC, a) = 1)
+SELECT a, b, c AS cosine FROM f JOIN h USING (a, b)""")
 def j12_mutual_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-checked nearest neighbours of two sets of descriptors: each is the other's best; a stated query set."""
+    """Cross-checked nearest neighbours: descriptors divisible by 50 and the one of all others that each has for its best, if that is mutual."""
     e = table(spark, sf_dir, "embeddings")
-    near = pairs.vector_probe(e.where("vec_id % 50 = 1"), e.where("vec_id % 50 = 0"), "vec_id", "embedding")
-    d = near.select(F.col("probe_id").alias("a"), F.col("id").alias("b"), F.round("cosine", 6).alias("cosine"))
-    best = lambda by, other: d.groupBy(by).agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col(other).alias("o"))).alias("m")).select(by, F.col("m.o").alias(other), (-F.col("m.c")).alias("cosine"))
-    return best("a", "b").join(best("b", "a").select("a", "b"), ["a", "b"])
+    return pairs.mutual_nearest(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding")
 
 
 @REG.query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT x.vec_id AS probe_id, y.vec_id AS id, round(list_cosine_similarity(x.v, y.v), 6) AS cosine FROM e x JOIN e y ON x.vec_id % 50 = 0 AND x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.30")

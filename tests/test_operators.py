@@ -66,7 +66,7 @@ def test_media_hierarchy(spark):
     got = {r.media_id: (r.root_id, r.depth, r.path, r.status, r.n_descendants) for r in hierarchy.hierarchy(df).collect()}
     assert got == {1: (1, 0, "1", "root", 2), 2: (1, 1, "1/2", "tree", 1), 3: (1, 2, "1/2/3", "tree", 0), 4: (4, 0, "4", "root", 0), 5: (5, 0, "5", "root", 0),
                    6: (6, None, None, "cycle", None), 7: (6, None, None, "below_cycle", 1), 8: (6, None, None, "below_cycle", 0)}
-    assert {tuple(r) for r in hierarchy.descendants(df).collect()} == {(1, 2, 1), (1, 3, 2), (2, 3, 1)}
+    assert {tuple(r) for r in hierarchy.descendants(df).collect()} == {(1, 2, 1, False), (1, 3, 2, False), (2, 3, 1, False), (7, 8, 1, False), (6, 7, None, True), (6, 8, None, True)}
 
 
 @settings(max_examples=3, deadline=None)
@@ -237,6 +237,21 @@ def test_probe_join_in_blocks(spark, monkeypatch):
     assert {(r.probe_id, r.id) for r in pairs.probe_join(df, df.where("id % 2 = 0"), 0.6).collect()} == want
 
 
+def test_vector_probe_and_mutual_nearest(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "PROBE_BLOCK", 3)
+    monkeypatch.setattr(pairs, "PASS_BYTES", 500)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(6).round(2).tolist()) for i in range(40)] + [(50, [1.0] * 6), (51, [2.0] * 6), (52, [1.0] * 6), (60, None), (61, []), (62, [0.0] * 6), (63, [1.0, None] + [1.0] * 4), (64, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id bigint, e array<double>")
+    good = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v and len(v) == 6 and None not in v and any(v)}
+    cos = {(a, b): round(float(good[a] @ good[b]), 6) for a in good for b in good if a != b}
+    got = {(r.probe_id, r.id) for r in pairs.vector_probe(df, df.where("vec_id % 5 = 0"), "vec_id", "e", 0.4).collect()}
+    assert got == {(a, b) for (a, b), x in cos.items() if a % 5 == 0 and x >= 0.4}
+    best = {a: min((b for b in good if b != a), key=lambda b: (-cos[a, b], b)) for a in good}
+    assert {(r.a, r.b) for r in pairs.mutual_nearest(df, df.where("vec_id % 5 = 0"), "vec_id", "e").collect()} == {(a, b) for a, b in best.items() if a % 5 == 0 and best[b] == a}
+    assert pairs.vector_probe(df, df.limit(0), "vec_id", "e").count() == 0
+
+
 def test_online_clusters_equal_the_sequential_rule(spark):
     rng = random.Random(4)
     items = [(i, i % 3) for i in range(1, 90)]
@@ -267,8 +282,10 @@ def test_bytes(spark, tmp_path):
     assert q(binary.STANDARD) == 50 and q([1] * 64) == 99 and q([255] * 64) >= 1 and q([1] * 10) is None
     assert binary.entropy(b"") == 0 and binary.entropy(bytes(range(256))) == pytest.approx(8) and binary.entropy(b"aaaa") == 0
     for tail, found in ((16, 0), (17, 17)):
-        assert binary._overlay(head + b"\xff\xd9" + b"x" * tail, False)[0] == found
-    assert binary._overlay(b"\x89PNG..IEND\xaeB`\x82PK\x03\x04zz", False)[1] == "zip"
+        assert binary._tail(head + b"\xff\xd9" + b"x" * tail, ".JPG")[0] == found
+    assert binary._tail(b"\x89PNG..IEND\xaeB`\x82PK\x03\x04" + b"z" * 20, "png")[:3] == (24, True, False) and binary._tail(None, None)[0] == 0
+    points = lambda size, kinds, e, trusted, bits=None: one(spark, binary.appended_suspicion(F.struct(F.lit(size).alias("tail_bytes"), *[F.lit(k in kinds).alias(k) for k in binary.SIGNATURES], F.lit(e).alias("entropy")), F.lit(trusted), None, F.lit(bits).cast("double")))
+    assert [points(0, (), 7.6, False), points(0, (), 7.93, None), points(200_000, ("jpeg",), 0.0, True), points(200_000, ("archive", "program", "png", "jpeg"), 8.0, True), points(0, (), 1.0, False, 0.99)] == [10, 30, 60, 99, 25]
     (tmp_path / "in").mkdir()
     (tmp_path / "a.JPG").write_bytes(two)
     (tmp_path / "in" / "b.png").write_bytes(b"")
