@@ -149,6 +149,16 @@ def relationship(same_sha, filename, ssim, color, w1, h1, w2, h2, contained, pla
             .when(yes(contained), "Crop").when(differ & ratio, via).when(differ, "Resize").when(yes(q_sim <= 0.85), "Recompressed").otherwise("Duplicate"))
 
 
+# Kinds scored as one frame within another, and as the same frame.
+CONTAINED_KINDS, SAME_FRAME_KINDS = ("Screenshot", "Crop"), ("Duplicate", "Resize", "Email Variant")
+# End of fixed values.
+
+
+def fused(kind: Column, signals: dict[str, Column], t: Thresholds = DEFAULT) -> Column:
+    """Weighted mean of the signals that are there, by the weights for the kind of relationship; null if none is."""
+    return (F.when(kind.isin(*CONTAINED_KINDS), weighted(signals, t.containment)).when(kind.isin(*SAME_FRAME_KINDS), weighted(signals, t.same_frame)).otherwise(weighted(signals, t.full_frame)))
+
+
 # Kinds of variant by relationship; everything else is a modified variant.
 CLASSES = {
     "Cropped Variant": ("Crop", "Cropped Variant"), "Screenshot-Derived Variant": ("Screenshot", "Screenshot-Derived Variant"),

@@ -111,15 +111,10 @@ def e16_e49_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("id", scoring.match_level(k).alias("level"), scoring.match_strength(k).alias("strength"), F.format_string("Attributed at %d%% confidence", F.coalesce((k * 100).cast("int"), F.lit(0))).alias("explanation"))
 
 
-_SHA = "coalesce(same_sha, FALSE)"
-
-
-@REG.query(_SIDES + f"""SELECT source_id, target_id, CASE WHEN {_SHA} THEN 'Duplicate' WHEN contains(lower(coalesce(filename, '')), 'watermark') THEN 'Watermarked Variant' WHEN regexp_matches(lower(coalesce(filename, '')), 'compress(ed|ion)') THEN 'Recompressed'
-WHEN coalesce(w1 <> w2 OR h1 <> h2, FALSE) THEN 'Resize' ELSE 'Duplicate' END AS kind FROM sc""")
+@REG.query(_SIDES + "SELECT source_id, target_id, kind, array_to_string(failed, ',') AS failed, score FROM sg")
 def e13_relationship_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(None)
-    p = _pairs(spark, sf_dir)
-    return p.select("source_id", "target_id", scoring.relationship(c("same_sha"), c("t.filename"), none.cast("double"), none.cast("double"), c("s.width"), c("s.height"), c("t.width"), c("t.height"), none.cast("boolean"), F.lit("Other"), F.lit(0.0), none.cast("double")).alias("kind"))
+    """Kind of every given match, gates it fails, and its score by the weights for its kind (three sets), clamped where a gate failed."""
+    return _pairs(spark, sf_dir).select("source_id", "target_id", "kind", F.array_join("failed", ",").alias("failed"), "score")
 
 
 @REG.query("WITH r AS (SELECT DISTINCT id, visual_similarity v, semantic_similarity s FROM media_relationships) SELECT id, CASE WHEN id % 7 = 0 THEN 100.0::DOUBLE WHEN coalesce(v * 100 > 85 AND s * 100 > 50 AND id % 200 <= greatest(50, 2000 * 0.05), FALSE) THEN greatest(50, 100 - (id % 200) / 2.0::DOUBLE) ELSE 0 END AS containment FROM r")

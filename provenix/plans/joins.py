@@ -40,31 +40,55 @@ def j2_case_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COS = "CASE WHEN len(x.embedding) = len(y.embedding) AND len(x.embedding) > 0 AND x.ok AND y.ok THEN list_cosine_similarity(x.embedding, y.embedding) END"
-_SIDES = mi("phash", "dhash", "ahash", "sha256", "width", "height", "embedding", "filename", "case_id", "cluster_id", "integrity_score", "created_at") + f""",
-it AS (SELECT id, {_CODE.format('phash')} AS p, {_CODE.format('dhash')} AS d, {_CODE.format('ahash')} AS a, lower(trim(sha256)) AS sha, width, height, embedding, filename, case_id, cluster_id, integrity_score, created_at,
+def _mean(weights: dict[str, float]) -> str:
+    """SQL of the weighted mean of the signals that are not null."""
+    return f"({' + '.join(f'coalesce(s_{k} * {w}::DOUBLE, 0)' for k, w in weights.items())}) / nullif({' + '.join(f'(s_{k} IS NOT NULL)::INT * {w}::DOUBLE' for k, w in weights.items())}, 0)"
+
+
+_T = scoring.DEFAULT
+_NAME = "lower(coalesce(filename, ''))"
+_SIDES = mi("phash", "dhash", "ahash", "sha256", "width", "height", "embedding", "filename", "case_id", "cluster_id", "integrity_score", "created_at", "risk_score") + f""",
+it AS (SELECT id, {_CODE.format('phash')} AS p, {_CODE.format('dhash')} AS d, {_CODE.format('ahash')} AS a, lower(trim(sha256)) AS sha, width, height, embedding, filename, case_id, cluster_id, integrity_score, created_at, 50 + risk_score % 50 AS quality,
  embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0 AS ok FROM mi),
-rel AS (SELECT least(source_id, target_id) AS source_id, greatest(source_id, target_id) AS target_id, max(combined_score) AS stored FROM media_relationships WHERE source_id <> target_id GROUP BY 1, 2),
-pr AS (SELECT r.source_id, r.target_id, r.stored, x.sha <> '' AND x.sha = y.sha AS same_sha, y.filename, x.width AS w1, x.height AS h1, y.width AS w2, y.height AS h2, x.case_id AS c1, y.case_id AS c2, x.cluster_id AS k1, y.cluster_id AS k2,
+rel AS (SELECT least(source_id, target_id) AS source_id, greatest(source_id, target_id) AS target_id, max(combined_score) AS stored, max(visual_similarity) AS s_ssim, max(semantic_similarity) AS s_features, bool_or(coalesce(lower(trim(relationship_type)) IN ('cropped', 'screenshot'), FALSE)) AS contained FROM media_relationships WHERE source_id <> target_id GROUP BY 1, 2),
+pr AS (SELECT r.source_id, r.target_id, r.stored, r.stored AS s_color, r.s_ssim, r.s_features, r.contained, 1 - abs(x.quality - y.quality) / 100.0::DOUBLE AS s_jpeg, x.sha <> '' AND x.sha = y.sha AS same_sha, y.filename, x.width AS w1, x.height AS h1, y.width AS w2, y.height AS h2, x.case_id AS c1, y.case_id AS c2, x.cluster_id AS k1, y.cluster_id AS k2,
  {_dist('p')} AS dp, {_dist('d')} AS dd, {_dist('a')} AS da, CASE WHEN x.p IS NOT NULL AND y.p IS NOT NULL THEN {_VIS} END AS vis, {_COS} AS cos0,
  CASE WHEN x.width > 0 AND x.height > 0 AND y.width > 0 AND y.height > 0 THEN 1 - least(1.0::DOUBLE, abs(x.width / x.height::DOUBLE - y.width / y.height::DOUBLE)) END AS ar
  FROM rel r JOIN it x ON x.id = r.source_id JOIN it y ON y.id = r.target_id),
 sc AS (SELECT *, CASE WHEN round(cos0, 9) <> 0 THEN cos0 END AS sem FROM pr),
-sg AS (SELECT *, round((coalesce(vis * 0.25, 0) + coalesce(sem * 0.20, 0) + coalesce(ar * 0.05, 0)) / nullif((vis IS NOT NULL)::INT * 0.25::DOUBLE + (sem IS NOT NULL)::INT * 0.20::DOUBLE + (ar IS NOT NULL)::INT * 0.05::DOUBLE, 0), 9) AS score FROM sc)
+kd AS (SELECT *, vis AS s_hashes, sem AS s_semantic, ar AS s_aspect, coalesce(w1 <> w2 OR h1 <> h2, FALSE) AS differ, CASE WHEN coalesce(same_sha, FALSE) THEN 'Duplicate' WHEN contains({_NAME}, 'watermark') THEN 'Watermarked Variant' WHEN regexp_matches({_NAME}, 'compress(ed|ion)') THEN 'Recompressed'
+ WHEN coalesce(s_ssim >= 0.98 AND s_color >= 0.98, FALSE) AND NOT differ THEN 'Duplicate' WHEN contained AND regexp_matches({_NAME}, 'screenshot|capture') AND NOT contains({_NAME}, 'crop') THEN 'Screenshot' WHEN contained THEN 'Crop' WHEN differ THEN 'Resize' WHEN s_jpeg <= 0.85 THEN 'Recompressed' ELSE 'Duplicate' END AS kind FROM sc),
+fu AS (SELECT *, CASE WHEN kind IN {scoring.CONTAINED_KINDS} THEN {_mean(_T.containment)} WHEN kind IN {scoring.SAME_FRAME_KINDS} THEN {_mean(_T.same_frame)} ELSE {_mean(_T.full_frame)} END AS raw,
+ list_filter([CASE WHEN s_ssim < CASE WHEN contained THEN {_T.cropped_ssim} ELSE {_T.ssim} END THEN 'ssim' END, CASE WHEN s_color < CASE WHEN contained THEN {_T.cropped_color} ELSE {_T.color} END THEN 'color' END, CASE WHEN sem > 0 AND sem < {_T.semantic} THEN 'semantic' END], lambda r: r IS NOT NULL) AS failed FROM kd),
+sg AS (SELECT *, round(CASE WHEN len(failed) > 0 THEN greatest(0.05, least(0.29, raw * 0.3)) ELSE raw END, 12) AS score FROM fu)
 """
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given matches with both items, all signals, kind, failed gates and score.
+
+    Signals that need pixels are inputs; the stored similarities stand in for them: visual for structure, combined for
+    colour, semantic for features, cropped and screenshot matches for containment, a number from the risk score for quality.
+    """
     rel = table(spark, sf_dir, "media_relationships").where("source_id <> target_id")
-    rel = rel.groupBy(F.least("source_id", "target_id").alias("source_id"), F.greatest("source_id", "target_id").alias("target_id")).agg(F.max("combined_score").alias("stored"))
-    d = items(spark, sf_dir, "phash", "dhash", "ahash", "sha256", "width", "height", "embedding", "filename", "case_id", "cluster_id", "integrity_score", "created_at")
+    inside = F.bool_or(F.coalesce(F.lower(F.trim("relationship_type")).isin("cropped", "screenshot"), F.lit(False)))
+    rel = rel.groupBy(F.least("source_id", "target_id").alias("source_id"), F.greatest("source_id", "target_id").alias("target_id")).agg(
+        F.max("combined_score").alias("stored"), F.max("visual_similarity").alias("ssim"), F.max("semantic_similarity").alias("features"), inside.alias("contained"))
+    d = items(spark, sf_dir, "phash", "dhash", "ahash", "sha256", "width", "height", "embedding", "filename", "case_id", "cluster_id", "integrity_score", "created_at", "risk_score")
     both = pairs.with_sides(rel, d, "source_id", "target_id")
     sig = pairs.pair_signals()
     dist = pairs.distances()
-    sha = lambda s: F.lower(F.trim(F.col(f"{s}.sha256")))
-    out = both.select("source_id", "target_id", "stored", "s", "t", dist["phash"].alias("dp"), dist["dhash"].alias("dd"), dist["ahash"].alias("da"), sig["hashes"].alias("vis"),
-                      F.when(F.round(sig["semantic"], 9) != 0, sig["semantic"]).alias("sem"), sig["aspect"].alias("ar"), ((sha("s") != "") & (sha("s") == sha("t"))).alias("same_sha"))
-    w = scoring.DEFAULT.full_frame
-    return out.withColumn("score", F.round(scoring.weighted({"hashes": F.col("vis"), "semantic": F.col("sem"), "aspect": F.col("ar")}, w), 9))
+    c = F.col
+    sha = lambda s: F.lower(F.trim(c(f"{s}.sha256")))
+    quality = lambda s: 50 + c(f"{s}.risk_score") % 50
+    out = both.select("source_id", "target_id", "stored", "ssim", "features", "contained", "s", "t", dist["phash"].alias("dp"), dist["dhash"].alias("dd"), dist["ahash"].alias("da"), sig["hashes"].alias("vis"),
+                      F.when(F.round(sig["semantic"], 9) != 0, sig["semantic"]).alias("sem"), sig["aspect"].alias("ar"), ((sha("s") != "") & (sha("s") == sha("t"))).alias("same_sha"),
+                      (1 - F.abs(quality("s") - quality("t")) / 100.0).alias("jpeg"))
+    none = F.lit(None)
+    kind = scoring.relationship(c("same_sha"), c("t.filename"), c("ssim"), c("stored"), c("s.width"), c("s.height"), c("t.width"), c("t.height"), c("contained"), F.lit("Other"), F.lit(0.0), c("jpeg"))
+    signals = {"hashes": c("vis"), "ssim": c("ssim"), "color": c("stored"), "aspect": c("ar"), "semantic": c("sem"), "jpeg": c("jpeg"), "features": c("features")}
+    out = out.withColumn("kind", kind).withColumn("failed", scoring.gate_reasons(c("contained"), c("ssim"), c("stored"), none.cast("int"), c("sem")))
+    return out.withColumn("score", F.round(scoring.gated(scoring.fused(c("kind"), signals), c("failed")), 12))
 
 
 @REG.query(_SIDES + """SELECT source_id, target_id, dp, dd, da, least(dp, dd, da) <= 24 OR coalesce(sem, 0) >= 0.60 OR coalesce((w1 < w2 AND h1 < h2) OR (w2 < w1 AND h2 < h1), FALSE) AS candidate FROM sc""")
@@ -75,12 +99,12 @@ def j3_stage0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("source_id", "target_id", "dp", "dd", "da", ok.alias("candidate"))
 
 
-@REG.query(_SIDES + """SELECT source_id, target_id, round(vis, 9) AS visual, round(sem, 9) AS semantic, round(ar, 9) AS aspect, score,
+@REG.query(_SIDES + """SELECT source_id, target_id, round(vis, 9) AS visual, round(sem, 9) AS semantic, round(ar, 9) AS aspect, round(s_jpeg, 9) AS jpeg, kind, score,
 CASE WHEN score >= 0.85 THEN 'High Match' WHEN score >= 0.58 THEN 'Possible Match' ELSE 'No Significant Match' END AS level,
 CASE WHEN score >= 0.95 THEN 'Highly Correlated Match' WHEN score >= 0.85 THEN 'Strong Relationship' WHEN score >= 0.70 THEN 'Moderately Altered Variation' ELSE 'Weak Similarity Match' END AS strength FROM sg WHERE score >= 0.58""")
 def j4_pair_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pairs(spark, sf_dir).where(F.col("score") >= scoring.DEFAULT.match)
-    return p.select("source_id", "target_id", F.round("vis", 9).alias("visual"), F.round("sem", 9).alias("semantic"), F.round("ar", 9).alias("aspect"), "score",
+    return p.select("source_id", "target_id", F.round("vis", 9).alias("visual"), F.round("sem", 9).alias("semantic"), F.round("ar", 9).alias("aspect"), F.round("jpeg", 9).alias("jpeg"), "kind", "score",
                     scoring.match_level(F.col("score")).alias("level"), scoring.match_strength(F.col("score")).alias("strength"))
 
 

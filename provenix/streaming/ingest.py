@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from provenix.session import checkpoint_dir, shared_table
+from provenix.session import shared_table
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 8) -> DataFrame:
@@ -20,20 +16,27 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger:
 
 
 def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Counts and sums per hour and type; rows later than the watermark are dropped."""
+    """Counts and sums per hour and type.
+
+    In ``append`` mode an hour comes out once, when the watermark has passed it, and rows later than that are dropped; in
+    ``update`` and ``complete`` mode it comes out as it grows, and in the latter the watermark drops nothing.
+    """
     at = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     g = at.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return g.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
 
 
-def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str, name: str, folder: str | None = None) -> DataFrame:
     """Run a stream over what is there and return what it wrote.
 
     ``complete`` keeps the last full result; ``append`` and ``update`` keep every batch, with its number in ``batch``.
-    Each batch is written to a folder of its own, so a batch that runs twice after a failure replaces itself.
+    Each batch is written to a folder of its own, so a batch that runs twice after a failure replaces itself. State and
+    results lie under ``folder``: given again, the stream goes on where it stopped and each input counts once; without
+    one, a fresh folder is taken.
     """
     spark = stream.sparkSession
-    out, state = shared_table(spark, name), f"{checkpoint_dir(spark)}/streams/{name}-{id(stream)}"
+    home = folder or shared_table(spark, name)
+    out, state = f"{home}/out", f"{home}/state"
 
     def write(df: DataFrame, batch: int) -> None:
         target = out if mode == "complete" else f"{out}/batch={batch}"
@@ -44,19 +47,15 @@ def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def _add(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, top = state.get if state.exists else (0, 0)
-    for f in frames:
-        n += len(f)
-        top = max(top, int(f["risk_score"].max()) if len(f) else 0)
-    state.update((n, top))
-    yield pd.DataFrame({"case_id": [key[0]], "n_items": [n], "max_risk": [top]})
-
-
 def case_totals(items: DataFrame) -> DataFrame:
-    """Running items and greatest risk of each case, kept as state of constant size; frames arrive in batches."""
-    rows = items.select("case_id", "risk_score").where("case_id is not null and risk_score is not null")
-    return rows.groupBy("case_id").applyInPandasWithState(_add, "case_id bigint, n_items bigint, max_risk int", "n bigint, top int", "update", GroupStateTimeout.NoTimeout)
+    """Running items and greatest risk of each case as built-in state; a record delivered again counts once.
+
+    The ids seen are state too: they are dropped by the watermark two weeks after a record's ingestion, so a repeat that
+    is later than that counts again.
+    """
+    rows = items.select("id", "case_id", "risk_score", F.coalesce("ingested_at", "created_at", F.lit("1970-01-01")).cast("timestamp").alias("at")).where("id is not null and case_id is not null and risk_score is not null")
+    once = rows.withWatermark("at", "14 days").dropDuplicatesWithinWatermark(["id"])
+    return once.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_items"), F.max("risk_score").alias("max_risk"))
 
 
 def latest(updates: DataFrame, key: str, order: str) -> DataFrame:
