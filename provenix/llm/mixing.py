@@ -2,8 +2,8 @@
 
 Every document draws an exponential key, slower for documents of less quality. Where a source must give more than it has,
 complete epochs of all its documents come first; the rest of its budget is taken in order of the keys until the tokens
-are used up. The prefix sums are taken over buckets of the keys first, so only the one bucket in which a budget ends is
-sorted, whatever share of the rows one source holds.
+are used up. Where a budget ends is narrowed down by quantiles of a source's keys and the tokens between them, again and
+again, until few rows are left to sort, whatever share of the rows one source holds and however its weights lie.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from provenix.llm import tokens
 from provenix.session import cut
 
-#: Buckets of the keys of a source.
-BUCKETS = 4096
+#: Parts into which the keys of a source are cut at a time, and the rows from which that goes on.
+PARTS, EDGE_ROWS = 64, 100_000
 #: Least quality weight of a document.
 LEAST_WEIGHT = 0.05
 #: Sources with a target: the table of targets is broadcast only up to this size.
@@ -76,6 +76,30 @@ def plan(want: DataFrame, total_tokens: int) -> DataFrame:
     return p.withColumn("epochs", F.when(F.col("available") > 0, F.expr("give div available")).otherwise(0).cast("int")).withColumn("rest", F.col("give") - F.col("epochs") * F.col("available"))
 
 
+def cut_points(keyed: DataFrame, share=lambda df: df) -> DataFrame:
+    """(source, low, high, before): the budget ``rest`` of a source ends in its keys above ``low`` up to ``high``, and the keys up to ``low`` have ``before`` tokens.
+
+    At most EDGE_ROWS rows of a source lie between, unless more have one and the same key. ``share`` may broadcast.
+    """
+    points = cut(keyed.select("source", "rest").distinct().select("source", "rest", F.lit(-1.0).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0).cast("bigint").alias("before")))
+    left = None
+    while True:
+        inside = keyed.drop("rest").join(share(points), "source").where((F.col("key") > F.col("low")) & (F.col("key") <= F.col("high")))
+        most = inside.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= EDGE_ROWS or most == left:
+            return points
+        left = most
+        edges = inside.groupBy("source").agg(F.percentile_approx("key", [k / PARTS for k in range(1, PARTS)], 10_000).alias("edges"))
+        part = inside.join(share(cut(edges)), "source").withColumn("part", F.size(F.filter("edges", lambda e: e < F.col("key"))))
+        per = part.groupBy("source", "part").agg(F.sum("n_tokens").alias("t"), F.max("key").alias("top"))  # at most PARTS rows to a source
+        way = Window.partitionBy("source").orderBy("part")
+        per = per.withColumns({"upto": F.sum("t").over(way), "under": F.lag("top").over(way)}).join(share(points), "source")
+        first = per.where(F.col("before") + F.col("upto") >= F.col("rest")).groupBy("source").agg(F.min_by(F.struct("under", "top", (F.col("upto") - F.col("t")).alias("t")), "part").alias("p"))
+        new = points.join(share(first), "source", "left")
+        found = F.col("p").isNotNull()
+        points = cut(new.select("source", "rest", F.coalesce("p.under", "low").alias("low"), F.when(found, F.col("p.top")).otherwise(F.col("high")).alias("high"), (F.col("before") + F.coalesce("p.t", F.lit(0))).alias("before")))
+
+
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 29, tokenizer: str = tokens.TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """(chosen documents, report per source).
 
@@ -96,20 +120,13 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
 
     part = plans.select("source", "epochs", "rest")
     keyed = rows.join(share(part), "source").withColumn("key", exponential_key(seed))
-    keyed = keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
-    # Prefix sums over buckets: BUCKETS rows to a source.
-    per = keyed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t"))
-    per = per.withColumn("before", F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    per = cut(per.join(share(part.select("source", "rest")), "source").select("source", "bucket", "before", (F.col("before") + F.col("t") <= F.col("rest")).alias("whole"), ((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") > F.col("rest"))).alias("edge")))
-    whole = per.where("whole").groupBy("source").agg(F.max("bucket").alias("upto"))
-    edge = per.where("edge").groupBy("source").agg(F.min("bucket").alias("edge_bucket"), F.min("before").alias("before"))
-    marks = part.select("source").join(share(whole), "source", "left").join(share(edge), "source", "left")
-    marked = keyed.join(share(marks), "source")
-    in_order = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = marked.where("bucket = edge_bucket").withColumn("sum", F.sum("n_tokens").over(in_order) + F.col("before"))
+    points = cut_points(keyed, share).drop("rest")
+    marked = keyed.join(share(points), "source")
+    in_order = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = marked.where((F.col("key") > F.col("low")) & (F.col("key") <= F.col("high"))).withColumn("sum", F.sum("n_tokens").over(in_order) + F.col("before"))
     # The document in which the budget ends is taken if that comes closer to the budget than leaving it.
     last = last.withColumn("drawn", (F.col("sum") * 2 - F.col("n_tokens") < F.col("rest") * 2).cast("int")).drop("sum")
-    other = marked.where("edge_bucket is null or bucket <> edge_bucket").withColumn("drawn", F.coalesce((F.col("bucket") <= F.col("upto")) & (F.coalesce(F.col("bucket") < F.col("edge_bucket"), F.lit(True))), F.lit(False)).cast("int"))
+    other = marked.where((F.col("key") <= F.col("low")) | (F.col("key") > F.col("high"))).withColumn("drawn", (F.col("key") <= F.col("low")).cast("int"))
     both = other.unionByName(last).withColumn("uses", F.col("epochs") + F.col("drawn")).where("uses > 0")
     chosen = cut(both.select("doc_id", "source", "n_tokens", "uses"))
 

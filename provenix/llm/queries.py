@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))
 
 
-@REG.query()
+@REG.query(sql.P1_REPORT)
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(table(spark, sf_dir, "dataset_audit"))
 
@@ -30,7 +30,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.media_groups(table(spark, sf_dir, "media_items"), table(spark, sf_dir, "media_relationships"))
 
 
-@REG.query()
+@REG.query(sql.P7_REPORT)
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.group_report(table(spark, sf_dir, "media_items"), table(spark, sf_dir, "media_relationships"))
 

@@ -297,7 +297,11 @@ def test_hilbert_curve_visits_neighbours():
     assert (np.abs(np.diff(grid[np.argsort(key)], axis=0)).sum(1) == 1).all()
 
 
-def test_mixing(spark):
+@pytest.mark.parametrize("edge", [100_000, 5])
+def test_mixing(spark, monkeypatch, edge):
+    """With few rows left to sort, a budget's end is narrowed down over several rounds of quantiles."""
+    monkeypatch.setattr(mixing, "EDGE_ROWS", edge)
+    monkeypatch.setattr(mixing, "PARTS", 4 if edge == 5 else 64)
     df, rows = _docs(spark)
     targets = spark.createDataFrame([("a_x", 0.5, 2), ("B", 0.3, 3), ("c", 0.15, 1), ("absent", 0.05, 4)], "source string, target_share double, max_repeat int")
     n = {i: len(tokens.token_ids(t)) for i, t, _ in rows if t}
